@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodeline.llm import encoding, scanned, splitting
+from lodeline.llm import encoding, language, linkage, scanned, splitting
 from lodeline.runtime import table
 
 
@@ -38,6 +39,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_repaired(spark, sf_dir).select("result_id", "field_name").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_repaired, p5_found, p5_repaired)}
+def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = table(spark, sf_dir, "publications"), table(spark, sf_dir, "open_access_results")
+    return linkage.link(left, right, ("publication_id", "title", "doi", "year"), ("oa_id", "title", "doi", "year"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_matches(spark, sf_dir).select("publication_id", "oa_id").distinct()
+
+
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segments(table(spark, sf_dir, "publications"), "publication_id", "language", "abstract", "title")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.wrong_labels(p7_segments(spark, sf_dir)).select("publication_id", F.col("language").alias("language_code")).distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_repaired, p5_found, p5_repaired, p6_found, p6_matches, p7_found, p7_segments)}
 
 SQL: dict[str, str] = {"p2_found": "SELECT DISTINCT result_id FROM retrieval_results WHERE length(text) > 3500"}
