@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import encoding, language, linkage, scanned, splitting
+from lodeline.llm import encoding, language, linkage, names, scanned, splitting
 from lodeline.runtime import table
 
 
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.entities(table(spark, sf_dir, "publication_authors"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.pairs(p1_entities(spark, sf_dir))
+
+
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "retrieval_results"), "result_id")
 
@@ -56,6 +64,6 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.wrong_labels(p7_segments(spark, sf_dir)).select("publication_id", F.col("language").alias("language_code")).distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_repaired, p5_found, p5_repaired, p6_found, p6_matches, p7_found, p7_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_pieces, p3_found, p3_repaired, p5_found, p5_repaired, p6_found, p6_matches, p7_found, p7_segments)}
 
 SQL: dict[str, str] = {"p2_found": "SELECT DISTINCT result_id FROM retrieval_results WHERE length(text) > 3500"}
