@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import encoding, language, linkage, names, scanned, splitting
+from lodeline.llm import encoding, language, linkage, mixture, names, packing, scanned, splitting, subjects
 from lodeline.runtime import table
 
 
@@ -64,6 +64,32 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.wrong_labels(p7_segments(spark, sf_dir)).select("publication_id", F.col("language").alias("language_code")).distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_pieces, p3_found, p3_repaired, p5_found, p5_repaired, p6_found, p6_matches, p7_found, p7_segments)}
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill of every container."""
+    x = p8_containers(spark, sf_dir)
+    return x.groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("texts"), F.count_distinct("source").alias("sources"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subject_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_subjects(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_pieces, p3_found, p3_repaired, p5_found, p5_repaired, p6_found, p6_matches, p7_found, p7_segments, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_subjects)}
 
 SQL: dict[str, str] = {"p2_found": "SELECT DISTINCT result_id FROM retrieval_results WHERE length(text) > 3500"}
