@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeline.plans import units
+from lodeline.plans import text, units
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-for _module in (units,):
+for _module in (text, units):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
 FLAGSHIP = "p4_found"
