@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeline.operators.prefix import running_sum
 from lodeline.runtime import col
 
 
@@ -45,6 +46,8 @@ def contained(left: DataFrame, key: str, text: str, terms: str, most: int) -> Da
     return left.select(col(key), F.explode(F.slice(hit, 1, most)).alias("h")).select(col(key), "h.term", "h.place")
 
 
-def dealt(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
-    """Rows of each group dealt in turn to ``n`` places (``turn`` from 0)."""
-    return df.withColumn("turn", F.pmod(F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1, F.lit(n)))
+def dealt(df: DataFrame, group: str, key: str, n: int, bucket_rows: int = 100_000) -> DataFrame:
+    """Rows of each group dealt in turn, in the order of a whole-number key, to ``n`` places (``turn`` from 0)."""
+    x = df.withColumn("__bucket", F.floor(col(key) / F.lit(bucket_rows))).withColumn("__one", F.lit(1).cast("bigint"))
+    x = running_sum(x, [group], "__bucket", [col(key)], "__one", "turn")
+    return x.withColumn("turn", F.pmod(F.col("turn") - 1, F.lit(n))).drop("__bucket", "__one")

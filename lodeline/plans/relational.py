@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import text as T
 from lodeline.operators import joins as J
+from lodeline.operators.prefix import running_sum
 from lodeline.plans.text import norm
 from lodeline.runtime import table
 
@@ -50,7 +51,7 @@ def j6_keywords_in_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j9_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source dealt in turn to four readers."""
     d = table(spark, sf_dir, "documents").select("doc_id", "section_kind")
-    return J.dealt(d, "section_kind", [F.col("doc_id")], 4).select("doc_id", F.col("turn").cast("bigint").alias("reader"))
+    return J.dealt(d, "section_kind", "doc_id", 4).select("doc_id", F.col("turn").cast("bigint").alias("reader"))
 
 
 def j10_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +76,13 @@ def a2_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a3_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value at the nearest rank of the 95th percentile of each event type, ranks rounded half to even."""
-    e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("event_type")
-    r = e.select("event_type", "value", F.row_number().over(w.orderBy("value", "event_id")).alias("r"), F.count("*").over(w).alias("n"))
-    return r.where(F.col("r") == F.bround((F.col("n") - 1) * 0.95).cast("bigint") + 1).select("event_type", F.col("value").alias("p95"), "n")
+    e = table(spark, sf_dir, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("m"))
+    span = e.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("m").alias("n"))
+    x = e.join(F.broadcast(span), "event_type")  # one row for each event type
+    x = x.withColumn("bucket", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 999)).otherwise(0))
+    x = running_sum(x, ["event_type"], "bucket", [F.col("value")], "m", "upto")
+    rank = F.bround((F.col("n") - 1) * 0.95).cast("bigint") + 1
+    return x.where((F.col("upto") >= rank) & (F.col("upto") - F.col("m") < rank)).select("event_type", F.col("value").alias("p95"), "n")
 
 
 def a4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,8 +218,9 @@ def o6_positive_or_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def o7_filter_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open records of each source and year, or all of the year where fewer than three are open."""
-    o = table(spark, sf_dir, "open_access_results").select("source", "year", "oa_id", F.coalesce("open_access", F.lit(False)).cast("int").alias("open"))
-    return o.withColumn("n", F.sum("open").over(Window.partitionBy("source", "year"))).where("open = 1 or n < 3").select("source", "year", "oa_id")
+    o = table(spark, sf_dir, "open_access_results").select("source", F.coalesce("year", F.lit("")).alias("year"), "oa_id", F.coalesce("open_access", F.lit(False)).alias("open"))
+    few = o.groupBy("source", "year").agg(F.count_if("open").alias("n")).where("n < 3").select("source", "year", F.lit(True).alias("few"))
+    return o.join(few, ["source", "year"], "left").where("open or few").select("source", "year", "oa_id")
 
 
 def o8_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,6 +285,6 @@ SQL = {
     "o5_overlap": f"""WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY procedure_summary_id) AS k FROM procedure_summaries) WHERE k = 1), w AS (SELECT procedure_summary_id, {_w('key_points')} AS a, {_w("array_to_string(list_transform(steps, lambda s: s.description), ' ')")} AS b FROM p)
         SELECT procedure_summary_id, len(list_intersect(a, b))::BIGINT AS shared, len(list_filter(a, lambda x: NOT list_contains(b, x)))::BIGINT AS only_points, len(list_distinct(list_concat(a, b)))::BIGINT AS all_words FROM w""",
     "o6_positive_or_all": "WITH r AS (SELECT query_id, result_id, contains(text, 'pH')::INT AS s, max(contains(text, 'pH')::INT) OVER (PARTITION BY query_id) AS m FROM retrieval_results) SELECT query_id, result_id FROM r WHERE s > 0 OR m = 0",
-    "o7_filter_or_fallback": "WITH r AS (SELECT source, year, oa_id, coalesce(open_access, false)::INT AS open, sum(coalesce(open_access, false)::INT) OVER (PARTITION BY source, year) AS n FROM open_access_results) SELECT source, year, oa_id FROM r WHERE open = 1 OR n < 3",
+    "o7_filter_or_fallback": "WITH r AS (SELECT source, year, oa_id, coalesce(open_access, false)::INT AS open, sum(coalesce(open_access, false)::INT) OVER (PARTITION BY source, year) AS n FROM open_access_results) SELECT source, coalesce(year, '') AS year, oa_id FROM r WHERE open = 1 OR n < 3",
     "o8_hash_sample": "SELECT doc_id FROM documents ORDER BY sha256('17:' || doc_id) LIMIT 100",
 }

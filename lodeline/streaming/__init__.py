@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Structured Streaming: the batch operators on growing inputs."""
