@@ -80,7 +80,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str
                     qs += [x["query_id"]] * len(best)
                     rs += ids[best].tolist()
                     ss += s[i][best].tolist()
-                yield pa.record_batch([pa.array(qs), pa.array(rs), pa.array(ss, pa.float64())], ["query_id", "row_id", "score"])
+                kind = lambda c, f: b[c].type.value_type.field(f).type
+                yield pa.record_batch([pa.array(qs, kind("query_id_l", "query_id")), pa.array(rs, kind("row_id_l", "row_id")), pa.array(ss, pa.float64())], ["query_id", "row_id", "score"])
 
     grid = blocks(base, "row_id").crossJoin(blocks(ask, "query_id")).select("row_id_l", "query_id_l")  # pairs of blocks
     part = grid.mapInArrow(product, f"query_id {kinds[1]}, row_id {kinds[0]}, score double")
