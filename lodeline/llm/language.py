@@ -105,20 +105,26 @@ class Judge:
     def __init__(self, prototypes: np.ndarray, space: Space):
         norms = np.linalg.norm(prototypes, axis=1, keepdims=True)
         self.unit, self.space = prototypes / np.where(norms == 0, 1, norms), space
-        self.known: dict[str, np.ndarray] = {}
+        self.place: dict[str, int] = {}
+        self.products = np.zeros((4096, len(prototypes)), np.float32)
 
     def cosines(self, text: str) -> np.ndarray | None:
         counts = Counter(trigrams(text))
         if not any(ch.isalpha() for g in counts for ch in g):
             return None
-        new = [g for g in counts if g not in self.known]
+        new = [g for g in counts if g not in self.place]
         if new:
-            if len(self.known) > 300_000:
-                self.known.clear()
+            if len(self.place) > 300_000:
+                self.place.clear()
                 new = list(counts)
-            self.known.update(zip(new, self.space.grams(new).astype(np.float32) @ self.unit.T.astype(np.float32)))
-        dot = sum(n * self.known[g] for g, n in counts.items())
-        return dot / np.sqrt(self.space.dim * sum(n * n for n in counts.values()))
+            at = len(self.place)
+            while at + len(new) > len(self.products):
+                self.products = np.concatenate([self.products, np.zeros_like(self.products)])
+            self.products[at : at + len(new)] = self.space.grams(new).astype(np.float32) @ self.unit.T.astype(np.float32)
+            self.place.update(zip(new, range(at, at + len(new))))
+        n = np.fromiter(counts.values(), np.float32, len(counts))
+        dot = n @ self.products[[self.place[g] for g in counts]]
+        return dot / np.sqrt(self.space.dim * float(n @ n))
 
     def sentence(self, text: str) -> tuple[int, float, np.ndarray] | None:
         c = self.cosines(text)
