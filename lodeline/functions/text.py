@@ -89,6 +89,18 @@ def occurrences(x: Column, term: str) -> Column:
     return ((F.length(x) - F.length(F.replace(x, F.lit(term), F.lit("")))) / len(term)).cast("bigint")
 
 
+def once(x: Column, fn) -> Column:
+    """``fn`` of an expression that is evaluated only once, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(x), fn), 1)
+
+
+def term_counts(toks: Column, terms: list[str]) -> Column:
+    """Struct of the number of tokens (n) and of each term's occurrences (t0, t1, ...), in one walk over the tokens."""
+    zero = F.struct(F.lit(0).alias("n"), *(F.lit(0).alias(f"t{i}") for i in range(len(terms))))
+    step = lambda a, x: F.struct((a["n"] + 1).alias("n"), *((a[f"t{i}"] + (x == t).cast("int")).alias(f"t{i}") for i, t in enumerate(terms)))
+    return F.aggregate(toks, zero, step)
+
+
 def coverage(x: Column, terms: list[str]) -> Column:
     """Share of the distinct terms that the text contains."""
     hits = sum((x.contains(t).cast("int") for t in terms), F.lit(0))

@@ -31,20 +31,21 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 
 
 def bm25(df: DataFrame, id_col: str, text_col: str, query: str, k: int, most_terms: int = 16) -> DataFrame:
-    """(row_id, score) of the best k rows. One scan: term counts of the query's terms and lengths come from the token arrays."""
+    """(row_id, score) of the best k rows. Counts are summed up before the shuffle, so one row for each text is moved, and both uses of it share that shuffle."""
     terms = df.sparkSession.range(1).select(F.slice(F.array_distinct(T.words(F.lit(query))), 1, most_terms).alias("t")).first()["t"]
     if not terms or k <= 0:
         return df.select(col(id_col).alias("row_id"), F.lit(0.0).alias("score")).limit(0)
-    tok = df.select(col(id_col).alias("row_id"), T.words(col(text_col)).alias("w")).where(F.size("w") > 0)
-    tf = tok.select("row_id", F.size("w").alias("dl"), *((F.size("w") - F.size(F.array_remove("w", t))).alias(f"f{i}") for i, t in enumerate(terms)))
-    stats = tf.agg(F.count("*").cast("double").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"), *(F.sum((F.col(f"f{i}") > 0).cast("int")).cast("double").alias(f"d{i}") for i in range(len(terms))))
-    hits = tf.where(sum((F.col(f"f{i}") for i in range(len(terms))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row of statistics
+    words = df.select(col(id_col).alias("row_id"), F.explode(T.words(col(text_col))).alias("w"))
+    tf = words.groupBy("row_id").agg(F.count("*").alias("n"), *(F.count_if(F.col("w") == t).alias(f"t{i}") for i, t in enumerate(terms)))
+    stats = tf.agg(F.count("*").cast("double").alias("docs"), F.avg(F.col("n").cast("double")).alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).cast("double").alias(f"d{i}") for i in range(len(terms))))
+    hits = tf.crossJoin(F.broadcast(stats))  # one row of statistics
     part = []
     for i in range(len(terms)):
-        idf = F.log((F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
-        f = F.col(f"f{i}").cast("double")
-        part.append(F.when(f > 0, F.when(idf <= 0, 1e-6).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0))
-    return hits.select("row_id", sum(part, F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "row_id").limit(k)
+        idf = F.log((F.col("docs") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
+        f = F.col(f"t{i}").cast("double")
+        part.append(F.when(f > 0, F.when(idf <= 0, 1e-6).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / F.col("mean")))).otherwise(0.0))
+    best = hits.select("row_id", sum(part, F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "row_id").limit(k)
+    return best.where("score > 0")
 
 
 def unit(vector: str) -> F.Column:

@@ -31,10 +31,10 @@ def l3_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l4_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    tf = [F.size("t") - F.size(F.array_remove("t", q)) for q in TERMS]
-    score = sum(((f > 0).cast("int") for f in tf), F.lit(0)) * 10 + sum((F.least(f, F.lit(3)) for f in tf), F.lit(0)) / F.size("t")
-    return n.select("doc_id", T.micro(score).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(20)
+    n = table(spark, sf_dir, "documents").select("doc_id", T.term_counts(T.tokens(F.col("text")), TERMS).alias("c"))
+    tf = [F.col(f"c.t{i}") for i in range(len(TERMS))]
+    score = sum(((f > 0).cast("int") for f in tf), F.lit(0)) * 10 + sum((F.least(f, F.lit(3)) for f in tf), F.lit(0)) / F.greatest(F.col("c.n"), F.lit(1))
+    return n.select("doc_id", T.micro(score).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20).where("score > 0")
 
 
 def v1_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +100,8 @@ def t1_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best twenty of publications' abstracts and procedures' key points together."""
     a = table(spark, sf_dir, "publications").select(F.lit("publication").alias("kind"), F.col("publication_id").alias("id"), F.col("abstract").alias("t")).where("t is not null").distinct()
     b = table(spark, sf_dir, "procedure_summaries").select(F.lit("procedure").alias("kind"), F.col("procedure_summary_id").alias("id"), F.col("key_points").alias("t")).where("t is not null").distinct()
-    x = a.unionByName(b).select("kind", "id", T.normalise(F.col("t")).alias("t"))
-    hits = sum((T.occurrences(F.col("t"), q) for q in TERMS), F.lit(0))
-    return x.select("kind", "id", T.micro(T.coverage(F.col("t"), TERMS) * 10 + hits).alias("score")).where("score > 0").orderBy(F.desc("score"), "kind", "id").limit(20)
+    score = T.once(T.normalise(F.col("t")), lambda t: T.coverage(t, TERMS) * 10 + sum((T.occurrences(t, q) for q in TERMS), F.lit(0)))
+    return a.unionByName(b).select("kind", "id", T.micro(score).alias("score")).orderBy(F.desc("score"), "kind", "id").limit(20).where("score > 0")
 
 
 def t3_late_text(spark: SparkSession, sf_dir: str) -> DataFrame:

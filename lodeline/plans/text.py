@@ -99,27 +99,28 @@ def prep15_display_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = documents(spark, sf_dir).select("doc_id", T.normalise(F.col("text")).alias("t"))
-    return n.select("doc_id", T.micro(T.coverage(F.col("t"), TERMS)).alias("coverage")).where("coverage > 0")
+    score = T.once(T.normalise(F.col("text")), lambda t: T.coverage(t, TERMS))
+    return documents(spark, sf_dir).select("doc_id", T.micro(score).alias("coverage")).where("coverage > 0")
 
 
 def x2_coverage_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = documents(spark, sf_dir).select("doc_id", T.normalise(F.col("text")).alias("t"), F.size(T.tokens(F.col("text"))).alias("n"))
-    total = sum((T.occurrences(F.col("t"), x) for x in TERMS), F.lit(0))
-    return n.where("n > 0").select("doc_id", T.micro(T.coverage(F.col("t"), TERMS) * 10 + F.least(total / F.col("n"), F.lit(1.0))).alias("score")).where("score > 0")
+    hits = T.once(T.normalise(F.col("text")), lambda t: F.struct(T.coverage(t, TERMS).alias("c"), sum((T.occurrences(t, x) for x in TERMS), F.lit(0)).alias("total")))
+    n = documents(spark, sf_dir).select("doc_id", hits.alias("h"), F.size(T.tokens(F.col("text"))).alias("n")).where("h.total > 0 and n > 0")
+    return n.select("doc_id", T.micro(F.col("h.c") * 10 + F.least(F.col("h.total") / F.col("n"), F.lit(1.0))).alias("score"))
 
 
 def x3_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = documents(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t"))
-    tf = [F.size("t") - F.size(F.array_remove("t", q)) for q in TERMS]
+    n = documents(spark, sf_dir).select("doc_id", T.term_counts(T.tokens(F.col("text")), TERMS).alias("c"))
+    tf = [F.col(f"c.t{i}") for i in range(len(TERMS))]
     hit, part = sum(((f > 0).cast("int") for f in tf), F.lit(0)), sum((F.least(f, F.lit(3)) for f in tf), F.lit(0))
-    return n.where(F.size("t") > 0).select("doc_id", T.micro(hit / F.lit(float(len(TERMS))) * 10 + part / F.size("t")).alias("score")).where("score > 0")
+    scored = n.select("doc_id", F.struct(hit.alias("hit"), T.micro(hit / F.lit(float(len(TERMS))) * 10 + part / F.greatest(F.col("c.n"), F.lit(1))).alias("score")).alias("s"))
+    return scored.where("s.hit > 0").select("doc_id", "s.score")
 
 
 def x4_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = documents(spark, sf_dir).select("doc_id", T.normalise(F.col("text")).alias("t"), T.tokens(F.col("text")).alias("k"))
-    tags = F.array(*(F.when(sum((T.alias_match(F.col("t"), F.col("k"), a).cast("int") for a in names), F.lit(0)) > 0, F.lit(c)) for c, names in CONCEPTS.items()))
-    return n.select("doc_id", F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("concept"))
+    both = F.struct(T.normalise(F.col("text")).alias("t"), T.tokens(F.col("text")).alias("k"))
+    tags = T.once(both, lambda x: F.array(*(F.when(sum((T.alias_match(x["t"], x["k"], a).cast("int") for a in names), F.lit(0)) > 0, F.lit(c)) for c, names in CONCEPTS.items())))
+    return documents(spark, sf_dir).select("doc_id", F.explode(F.array_compact(tags)).alias("concept"))
 
 
 def x5_short_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
