@@ -126,15 +126,15 @@ def fold(word: str) -> str:
 
 
 @lru_cache(200_000)
-def given_name(word: str) -> str | None:
-    """The full given name that a word spells, short forms and slips included."""
+def given_name(word: str, cut: bool = False) -> str | None:
+    """The full given name that a word spells, short forms and slips included; a word cut off by a dot may not slip."""
     if word in CANON:
         return CANON[word]
-    if len(word) >= 5:
-        near = {CANON[x] for x in CANON if len(x) >= 5 and distance(word, x, 1) <= 1}
-        if len(near) == 1:
-            return near.pop()
-    return None
+    if cut or len(word) < 3:
+        return None
+    known = CANON if len(word) >= 5 else GIVEN
+    near = {CANON[x] for x in known if len(x) >= 4 and distance(word, x, 1) <= 1}
+    return near.pop() if len(near) == 1 else None
 
 
 def person(name: str | None) -> tuple[str, str, str] | None:
@@ -160,14 +160,14 @@ def person(name: str | None) -> tuple[str, str, str] | None:
     caps = [i for i, (w, _) in enumerate(words) if len(w) > 2 and w.isupper()]
     first_part = len(WORD.findall(name[:comma])) if comma > 0 else 0
     patronymic = next((i for i, w in enumerate(plain) if len(w) > 5 and w not in CANON and PATRONYMIC.search(w)), None)
-    given = next((i for i, w in enumerate(plain) if i != patronymic and len(w) > 2 and given_name(w)), None)
+    given = next((i for i, w in enumerate(plain) if i != patronymic and len(w) > 2 and given_name(w, words[i][1])), None)
     long = [i for i, w in enumerate(plain) if len(w) > 1 and i not in (given, patronymic)]
     if patronymic is not None and not long and given is None:
         long, patronymic = [patronymic], None
     if comma > 0 and first_part == 1 and plain and len(plain[0]) > 3:
         surname = 0
         if given == 0:
-            given = next((i for i, w in enumerate(plain) if i not in (0, patronymic) and given_name(w)), None)
+            given = next((i for i, w in enumerate(plain) if i not in (0, patronymic) and given_name(w, words[i][1])), None)
     elif len(caps) == 1 and len(words) > 1 and caps[0] not in (given, patronymic):
         surname = caps[0]
     elif long:
@@ -179,7 +179,7 @@ def person(name: str | None) -> tuple[str, str, str] | None:
     rest = [i for i in range(len(plain)) if i not in (surname, given, patronymic)]
     letters = [plain[i] for i in rest if len(plain[i]) == 1 or (words[i][1] and len(plain[i]) <= 4) or len(plain[i]) <= 2]
     other = [plain[i] for i in rest if plain[i] not in letters]
-    first = given_name(plain[given]) if given is not None else (other.pop(0) if other else letters.pop(0) if letters else "")
+    first = given_name(plain[given], words[given][1]) if given is not None else (other.pop(0) if other else letters.pop(0) if letters else "")
     second = plain[patronymic] if patronymic is not None else (letters.pop(0) if letters else other.pop(0) if other else "")
     f = fold(words[surname][0])
     return (f, first, second) if f else None
