@@ -120,3 +120,16 @@ def table_rows(df: DataFrame, id_col: str, text_col: str, most: int | None = Non
 def separator(line: F.Column) -> F.Column:
     """The first of tab, bar, semicolon and comma that a header holds; else white space."""
     return F.when(line.contains("\t"), "\t").when(line.contains("|"), "|").when(line.contains(";"), ";").when(line.contains(","), ",").otherwise(" ")
+
+
+def phrase(df: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
+    """(row_id, hits): texts that hold the query's words one after the other, and how often.
+
+    The words of a text are joined by single spaces with borders, so that a phrase is one containment test.
+    """
+    words = df.sparkSession.range(1).select(T.words(F.lit(query)).alias("w")).first()["w"]
+    if not words:
+        return df.select(col(id_col).alias("row_id"), F.lit(0).cast("bigint").alias("hits")).limit(0)
+    mark = " " + "  ".join(words) + " "
+    hits = T.once(F.concat(F.lit(" "), F.array_join(T.words(col(text_col)), "  "), F.lit(" ")), lambda t: ((F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit("")))) / len(mark)).cast("bigint"))
+    return df.select(col(id_col).alias("row_id"), hits.alias("hits")).where("hits > 0")

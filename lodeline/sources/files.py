@@ -96,3 +96,36 @@ def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """``table`` with all rows of the changed keys replaced by those of ``changes``."""
     return table.join(changes.select(key).distinct(), key, "left_anti").unionByName(changes)
+
+
+def head_lines(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """(line_no, value) of the first ``most`` physical lines of one file; numbers follow the file, blank lines count."""
+    lines = spark.read.text(path, wholetext=True)
+    return lines.select(F.posexplode(F.slice(F.split("value", "\\r?\\n"), 1, most)).alias("p", "value")).select((F.col("p") + 1).alias("line_no"), "value")
+
+
+def table_summary(rows: DataFrame) -> DataFrame:
+    """(path, columns, rows, header) of tables read by :func:`read_csv_rows`; the header is not counted as a row."""
+    g = rows.groupBy("path").agg(F.max(F.size("cells")).alias("columns"), F.greatest(F.count("*") - 1, F.lit(0)).alias("rows"), F.min_by("cells", "row_no").alias("header"))
+    return g.select("path", "columns", "rows", F.array_join("header", " | ").alias("header"))
+
+
+def preview(rows: DataFrame, most_rows: int = 80, most_columns: int = 50) -> DataFrame:
+    """First rows and columns of every table, cells trimmed, and whether something was left out."""
+    cut = (F.size("cells") > most_columns).alias("truncated")
+    return rows.where(F.col("row_no") <= most_rows).select("path", "row_no", F.transform(F.slice("cells", 1, most_columns), lambda x: F.trim(x)).alias("cells"), cut)
+
+
+SHEETS = "struct<sheets:array<struct<sheet_index:string,sheet_name:string,rows:string,columns:string,csv_path:string>>>"
+
+
+def explode_sheets(documents: DataFrame, id_col: str = "doc_id", json_col: str = "metadata_json", root: str = "data/parsed/spreadsheets_csv/") -> DataFrame:
+    """(doc_id, sheet_index, sheet_name, rows, columns, csv_path) of the sheets in a JSON column.
+
+    Broken JSON and documents without an id give nothing; counts that aren't numbers are 0; paths of any
+    system are cut after the root.
+    """
+    d = documents.where(F.coalesce(F.col(id_col), F.lit("")) != "").select(F.col(id_col).alias("doc_id"), F.explode(F.from_json(json_col, SHEETS)["sheets"]).alias("s"))
+    num = lambda c: F.coalesce(F.expr(f"try_cast(s.{c} as int)"), F.lit(0)).alias(c)
+    path = F.regexp_replace(F.replace("s.csv_path", F.lit("\\"), F.lit("/")), f"^.*?{root}", "")
+    return d.where("s is not null").select("doc_id", num("sheet_index"), F.col("s.sheet_name").alias("sheet_name"), num("rows"), num("columns"), F.coalesce(path, F.lit("")).alias("csv_path"))
