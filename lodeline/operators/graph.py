@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as T
+from lodeline.runtime import stored
 
 
 def node_id(kind: str | Column, label: Column) -> Column:
@@ -55,7 +56,7 @@ def neighbours(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 def paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(start_id, end_id, path, types, depth) of all simple paths of up to ``depth`` edges from the nodes in ``start``."""
-    step = both_ways(edges)
+    step = stored(both_ways(edges), "edges")  # every step joins the same table
     front = start.select(F.col("node_id").alias("start_id"), F.col("node_id").alias("end_id"), F.array("node_id").alias("path"), F.array().cast("array<string>").alias("types"))
     out = None
     for k in range(1, depth + 1):

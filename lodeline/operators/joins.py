@@ -1,6 +1,7 @@
 """Joins beyond the plain ones.
 
-Null keys never match; repeated rows count once where sets of tokens are compared; empty sides give empty results.
+Null keys never match; where sets of tokens are compared an id counts once, with the first of its sets in order; empty
+sides give empty results.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.operators.prefix import running_sum
-from lodeline.runtime import col
+from lodeline.runtime import col, stored
 
 
 def lookup_last(left: DataFrame, right: DataFrame, key: str, order: list[Column], values: list[str]) -> DataFrame:
@@ -24,8 +25,8 @@ def similar_sets(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     Prefix filtering: with tokens ordered from rare to frequent, two sets that reach the threshold share one
     of their first n - ceil(least * n) + 1 tokens. Candidates come from an equi-join on those and are verified.
     """
-    a = left.select(col(left_id).alias("a"), F.array_distinct(col(tokens_col)).alias("ta")).where(F.size("ta") > 0).dropDuplicates(["a"])
-    b = right.select(col(right_id).alias("b"), F.array_distinct(col(tokens_col)).alias("tb")).where(F.size("tb") > 0).dropDuplicates(["b"])
+    one = lambda df, i, n: stored(df.select(col(i).alias(n), F.array_distinct(col(tokens_col)).alias(f"t{n}")).where(F.size(f"t{n}") > 0).groupBy(n).agg(F.min(f"t{n}").alias(f"t{n}")), "sets")
+    a, b = one(left, left_id, "a"), one(right, right_id, "b")
     freq = a.select(F.explode("ta").alias("t")).unionByName(b.select(F.explode("tb").alias("t"))).groupBy("t").agg(F.count("*").alias("n"))
 
     def prefix(df: DataFrame, i: str, t: str) -> DataFrame:
