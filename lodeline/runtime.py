@@ -47,6 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL[app]
 
 
+def _own(spark: SparkSession) -> str:
+    """This application's folder within the shared one."""
+    return f"{shared_dir(spark)}/lodeline-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Delete the tables that this application has stored; results that still read them end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
 def stored(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -54,7 +65,7 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     executor costs only a re-read, since the files live outside the executors.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

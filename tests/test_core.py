@@ -148,3 +148,11 @@ def test_json_fallback(spark, bad):
     df = spark.createDataFrame([(bad,)], "p string")
     assert df.select(F.get_json_object("p", "$.k")).first()[0] is None
     assert json.dumps(bad) is not None
+
+
+def test_stored_tables_are_shared_and_cleared(spark):
+    from lodeline import runtime
+
+    df = runtime.stored(spark.createDataFrame([(1, None), (2, [3])], "a int, b array<int>"))
+    assert sorted(r["a"] for r in df.collect()) == [1, 2] and "/lodeline-" in df.inputFiles()[0]
+    assert runtime.clear(spark) and not runtime.clear(spark)
