@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_SCOPES: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def session(app: str = "lodeline", master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -34,28 +40,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, as in tests; ``local-cluster`` is a cluster."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir, or (tests only) a local folder where that is unset."""
+    """Folder all executors share: spark.checkpoint.dir. A cluster without that setting is an error; a session on one machine, as in tests, gets a folder of its own."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not on_one_machine(spark):
+        raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="lodeline-")
         atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
-        spark.sparkContext.setCheckpointDir("file://" + _LOCAL[app])
     return "file://" + _LOCAL[app]
 
 
 def _own(spark: SparkSession) -> str:
-    """This application's folder within the shared one."""
-    return f"{shared_dir(spark)}/lodeline-{spark.sparkContext.applicationId}"
+    """This application's folder within the shared one, or the current :func:`scope`'s within it."""
+    return "/".join([f"{shared_dir(spark)}/lodeline-{spark.sparkContext.applicationId}", *_SCOPES])
+
+
+def _delete(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within end with the block; write or collect results before it closes."""
+    _SCOPES.append(uuid.uuid4().hex)
+    folder = _own(spark)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        _delete(spark, folder)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to all executors once, so that their Python workers can import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or on_one_machine(spark):
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as t:  # the driver's own copy; Spark serves it to the executors
+        target = Path(t) / f"{root.name}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan gives fewer tasks than there are cores, as one small file does; else as it is.
+
+    For scans ahead of Python work only: what is moved is less than one task's share for each core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def clear(spark: SparkSession) -> bool:
     """Delete the tables that this application has stored; results that still read them end with it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
-    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return _delete(spark, f"{shared_dir(spark)}/lodeline-{spark.sparkContext.applicationId}")
 
 
 def stored(df: DataFrame, label: str = "t") -> DataFrame:

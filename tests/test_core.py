@@ -156,3 +156,23 @@ def test_stored_tables_are_shared_and_cleared(spark):
     df = runtime.stored(spark.createDataFrame([(1, None), (2, [3])], "a int, b array<int>"))
     assert sorted(r["a"] for r in df.collect()) == [1, 2] and "/lodeline-" in df.inputFiles()[0]
     assert runtime.clear(spark) and not runtime.clear(spark)
+
+
+def test_scope_deletes_its_tables(spark):
+    from lodeline import runtime
+
+    with runtime.scope(spark):
+        df = runtime.stored(spark.range(3).toDF())
+        assert df.count() == 3
+        folder = df.inputFiles()[0].rpartition("/")[0]
+    assert not spark._jvm.java.io.File(folder.removeprefix("file://").removeprefix("file:")).exists()
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lodeline import runtime
+
+    bare = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]", applicationId="x"))
+    with pytest.raises(ValueError):
+        runtime.shared_dir(bare)
