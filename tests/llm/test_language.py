@@ -1,3 +1,5 @@
+import numpy as np
+
 from lodeline.llm import language as L
 
 TEXTS = {
@@ -32,6 +34,21 @@ def test_labels():
     assert L.canonical("en-GB") == "en" and L.canonical("русский") == "ru" and L.canonical("n/a") is None and L.canonical(None) is None
 
 
+def test_short_sentence_follows_its_neighbours():
+    strong, weak, other = [2.0, 0.5], [0.4, 0.6], [0.5, 1.5]
+    assert L.smoothed(np.array([strong, weak, strong]), 0.2) == [0, 0, 0]
+    assert L.smoothed(np.array([strong, other, weak, strong]), 0.2) == [0, 1, 1, 0]
+    assert L.smoothed(np.array([weak]), 0.2) == [1]
+
+
+def test_trigrams_have_no_bound(spark):
+    """More trigrams than any alphabet has: prototypes are summed in tasks, whatever their number."""
+    rows = [("".join(chr(0x4E00 + (7 * i + 13 * j) % 20_000) for j in range(40)), "en" if i % 2 else "ru") for i in range(200)]
+    df = spark.createDataFrame(rows, "t string, l string")
+    p = L.train(df, "l", "t")
+    assert p.shape == (len(L.LANGUAGES), L.DIM) and np.isfinite(p).all() and abs(p[:2]).sum() > 0
+
+
 def test_sentences():
     assert L.sentences("One two three four. Five six seven. No 3.") == ["One two three four.", "Five six seven. No 3."]
     assert L.sentences("") == []
