@@ -1,8 +1,9 @@
 """Text decoded with the wrong character encoding: find it and restore it.
 
-Method: values whose ASCII skeleton is equal are twins of one original. Twins that differ are aligned
-character run by character run; a transformation (written in encoding A, read in encoding B) that turns
-one twin exactly into the other is learned with its support. The learned transformations, undone alone or
+Method: values whose ASCII skeleton is equal are twins of one original. Each is aligned, character run by
+character run, with the most plausible of its twins; a transformation (written in encoding A, read in encoding
+B) that turns one exactly into the other is learned once it explains enough characters, and where no encodings
+fit, the map of characters itself is. The learned transformations, undone alone or
 one after the other, are then tried on every non-ASCII token of every record; a letter-bigram model of the
 corpus decides between a token and its repaired forms.
 
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.runtime import col, stored
+from lodeline.runtime import col, spread, stored
 
 # Encodings that text may have been written in, and those it may have been read in.
 WRITTEN = ("utf-8", "cp1251", "koi8-r", "koi8-u", "cp866", "cp1252", "mac_cyrillic")
@@ -37,7 +38,8 @@ EIGHT = re.compile(rb"(?:[^A-Za-z0-9]*[A-Za-z0-9]){8}")
 DIGITS = re.compile(r"[0-9]+")
 LOST = re.compile(r"[�\x80-\x84\x86-\x9f]|[^\W_]\?[^\W\d_]|[^\W\d_]\?’|(?<!\S)\?[^\W\d_]")
 MIXED = re.compile(r"[A-Za-z][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z]")
-MAX_BIGRAMS = 200_000  # bound of the letter model that reaches every task; alphabets hold far fewer
+PROOF = 4  # characters that a transformation has to explain, counted once for each pair of twins
+LEAST_MAP = 6  # different characters that a learned map changes at least
 NEVER = -16.0
 
 
@@ -96,9 +98,27 @@ def transformations(garbled: str, clean: str) -> list[tuple[str, str]]:
     return out
 
 
+class _Symbols(dict):
+    """Characters of the code pages stand for themselves, all others for their block of 256, so that bigrams are bounded whatever scripts a corpus has."""
+
+    def __init__(self):
+        super().__init__({k: k for k in range(0x80)})
+        for page in {*WRITTEN, *READ} - {"utf-8"}:
+            for k in range(0x80, 0x100):
+                ch = bytes([k]).decode(page, "ignore")
+                self.update({ord(x): ord(x) for c in ch for x in (c, *c.lower())})
+
+    def __missing__(self, k: int) -> int:
+        self[k] = out = k & ~0xFF
+        return out
+
+
+SYMBOLS = _Symbols()
+
+
 def bigrams(token: str) -> Iterator[str]:
-    """Neighbouring characters of a token in lower case, where one of the two is beyond ASCII."""
-    for a, b in pairwise(f" {DIGITS.sub('0', token.lower())} "):
+    """Neighbouring symbols of a token in lower case, where one of the two is beyond ASCII."""
+    for a, b in pairwise(f" {DIGITS.sub('0', token.lower())} ".translate(SYMBOLS)):
         if a > "\x7f" or b > "\x7f":
             yield a + b
 
@@ -108,14 +128,19 @@ class Letters:
 
     def __init__(self, counts: dict[str, int]):
         total = max(1, sum(counts.values()))
-        self.logs = {k: math.log(v / total) for k, v in counts.items()}
+        self.logs = {k: math.log(v / total) - 5.5 * sum(not ord(ch) & 0xFF for ch in k) for k, v in counts.items()}  # log 256 for a character of a block
         self.known = {ch for k, v in counts.items() if v >= 3 for ch in k}
-        self.blocks = {ord(ch) >> 8 for ch in self.known if ch.isalpha()}
+        self.blocks = {ord(ch) >> 8 for ch in self.known if ch.isalpha() or not ord(ch) & 0xFF}
 
     def score(self, token: str) -> tuple[float, int]:
         got = [self.logs.get(x, NEVER) for x in bigrams(token)]
         return (sum(got) / len(got) if got else 0.0), len(got)
 
+    def whole(self, text: str) -> float:
+        """Mean over all bigrams of a text's distinct tokens."""
+        got = [self.score(t) for t in set(tokens_of(text)) if not t.isascii()]
+        return sum(x * n for x, n in got) / max(1, sum(n for _, n in got))
+
     def plausible(self, run: str) -> bool:
         """Every letter is of an alphabet that the corpus uses."""
         return all(not ch.isalpha() or ord(ch) >> 8 in self.blocks for ch in run)
@@ -139,10 +164,11 @@ def swap_table(written: str, read: str) -> dict[int, str]:
 class Repairer:
     """Verdict on single tokens; tokens repeat, so verdicts are kept."""
 
-    def __init__(self, counts: dict[str, int], learned: list[tuple[str, str]], margin: float = 2.0, least: float = 6.0):
+    def __init__(self, counts: dict[str, int], learned: list[tuple[str, str]], maps: dict[str, dict[str, str]] | None = None, margin: float = 2.0, least: float = 6.0):
         self.letters, self.margin, self.least = Letters(counts), margin, least
         self.wide = [r for w, r in learned if w == "utf-8"]
         self.swaps = {f"{w}<{r}": swap_table(w, r) for w, r in learned if w != "utf-8"}
+        self.swaps |= {name: {ord(k): v for k, v in m.items()} for name, m in (maps or {}).items()}
         self.seen: dict[str, tuple[str, str, bool, bool] | None] = {}
 
     def token(self, token: str) -> tuple[str, str, bool, bool] | None:
@@ -200,7 +226,7 @@ class Repairer:
         return best, how, bool(how)
 
     def _rank(self, token: str) -> tuple:
-        return (-sum(ch not in self.letters.known and not ch.isascii() for ch in token), self.letters.score(token)[0], -len(token))
+        return (-sum(ch not in self.letters.known and not ch.isascii() for ch in token.translate(SYMBOLS)), self.letters.score(token)[0], -len(token))
 
     def rest(self, tokens: set[str], swaps: list[dict[int, str]]) -> Iterator[tuple[str, str]]:
         """Tokens beside proven ones that read better after the same swap, by however little."""
@@ -242,6 +268,17 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter = Counter()
     seen: set[int] = set()
     kind = pa.string()
+
+    def flush() -> pa.RecordBatch:
+        grams: Counter = Counter()
+        for token, n in words.items():
+            if not token.isascii():
+                for x in bigrams(token):
+                    grams[x] += n
+        words.clear()
+        m = len(grams)
+        return pa.record_batch([pa.array(["g"] * m, pa.string()), pa.array(grams, pa.string()), pa.nulls(m, kind), pa.nulls(m, pa.string()), pa.array(grams.values(), pa.int64())], _SURVEY)
+
     for b in batches:
         kind = b["id"].type
         key, ref, field, n = [], [], [], []
@@ -250,56 +287,94 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = xxhash.xxh64_intdigest(v)
             if h in seen:
                 continue
+            if len(seen) > 1_000_000:  # a repeated value is only counted out later
+                seen.clear()
             seen.add(h)
             for k in twin_keys(v):
                 key.append(xxhash.xxh64_hexdigest(k)), ref.append(i), field.append(f), n.append(h - (1 << 63))
         yield pa.record_batch([pa.array(["k"] * len(key), pa.string()), pa.array(key, pa.string()), pa.array(ref, kind), pa.array(field, pa.string()), pa.array(n, pa.int64())], _SURVEY)
-    grams: Counter = Counter()
-    for token, n in words.items():
-        if not token.isascii():
-            for x in bigrams(token):
-                grams[x] += n
-    m = len(grams)
-    yield pa.record_batch([pa.array(["g"] * m, pa.string()), pa.array(grams, pa.string()), pa.nulls(m, kind), pa.nulls(m, pa.string()), pa.array(grams.values(), pa.int64())], _SURVEY)
+        if len(words) > 500_000:
+            yield flush()
+    yield flush()
 
 
-def _explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [x for a, c in zip(b["a"].to_pylist(), b["b"].to_pylist()) for x in (*transformations(a, c), *transformations(c, a))]
-        yield pa.record_batch([[w for w, _ in rows], [r for _, r in rows]], schema=pa.schema([("written", pa.string()), ("read", pa.string())]))
-
+def character_map(garbled: str, clean: str) -> dict[str, str] | None:
+    """Which character stands for which in aligned twins: a one-to-one map that changes nearly all of them, else None."""
+    a, b = NON_ASCII.findall(garbled), NON_ASCII.findall(clean)
+    if [len(x) for x in a] != [len(y) for y in b]:
+        return None
+    out: dict[str, str] = {}
+    for x, y in zip("".join(a), "".join(b)):
+        if out.setdefault(x, y) != y:
+            return None
+    changed = sum(x != y for x, y in out.items())
+    return out if len(set(out.values())) == len(out) and changed >= LEAST_MAP and changed >= 0.8 * len(out) else None
 
-def learn(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> tuple[dict[str, int], list[tuple[str, str]]]:
-    """Letter model and learned transformations, from all values of all rows.
 
-    Only two bounded things reach the driver: bigram counts (alphabets bound them; checked against
-    MAX_BIGRAMS) and one row per pair of encodings.
+def _explain(batches: Iterator[pa.RecordBatch], plausibility) -> Iterator[pa.RecordBatch]:
+    """(written, read, garbled, clean, n): the characters that each fitting transformation explains; written is empty where no encodings fit."""
+    for b in batches:
+        seen: Counter = Counter()
+        for a, c in zip(b["a"].to_pylist(), b["b"].to_pylist()):
+            fits = [(w, r, x, y) for x, y in ((a, c), (c, a)) for w, r in transformations(x, y)]
+            for w, r, x, y in fits:
+                for ch in {*"".join(NON_ASCII.findall(y))}:
+                    seen[w, r, "", ch] += 1
+            if not fits:
+                x, y = sorted((a, c), key=plausibility)
+                if m := character_map(x, y):
+                    seen.update(("", "", g, ch) for g, ch in m.items() if g != ch)
+        yield pa.record_batch([*(pa.array([k[j] for k in seen], pa.string()) for j in range(4)), pa.array(seen.values(), pa.int64())], ["written", "read", "garbled", "clean", "n"])
+
+
+def learn(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> tuple[dict[str, int], list[tuple[str, str]], dict[str, dict[str, str]]]:
+    """Letter model, learned pairs of encodings, and the map of characters that no pair of encodings explains; from all values of all rows.
+
+    Every distinct value of a twin group is aligned with the group's most plausible, first and last ones. What reaches the driver
+    is bounded by the symbols of the code pages: bigram counts, and one row for each explained character.
     """
     values = _fields(df, id_col, fields)
     kind = values.schema["id"].dataType.simpleString()
-    survey = stored(values.mapInArrow(_survey, f"kind string, key string, ref {kind}, field_name string, n bigint"), "encoding")
-    grams = survey.where("kind = 'g'").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = {r["key"]: r["n"] for r in grams.orderBy(F.desc("n"), "key").limit(MAX_BIGRAMS).collect()}
-    ref = F.struct(F.col("n"), F.col("ref"), F.col("field_name"))
-    twins = (
-        survey.where("kind = 'k'").groupBy("key").agg(F.min(ref).alias("x"), F.max(ref).alias("y")).where("x.n <> y.n")
-        .select(F.xxhash64("x.n", "y.n").alias("pair"), F.explode(F.array("x", "y")).alias("s")).distinct()
-    )
-    sides = twins.select("pair", "s.ref", "s.field_name")
-    pairs = (
-        sides.join(values.withColumnRenamed("id", "ref"), ["ref", "field_name"])
-        .groupBy("pair").agg(F.min("value").alias("a"), F.max("value").alias("b")).where("a <> b")
-    )
-    support = pairs.select("a", "b").mapInArrow(_explain, "written string, read string").groupBy("written", "read").count()
-    return counts, [(r["written"], r["read"]) for r in support.orderBy(F.desc("count"), "written", "read").collect()]
+    survey = stored(spread(values).mapInArrow(_survey, f"kind string, key string, ref {kind}, field_name string, n bigint"), "encoding")
+    counts = {r["key"]: r["n"] for r in survey.where("kind = 'g'").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    variants = survey.where("kind = 'k'").groupBy("key", "n").agg(F.min(F.struct("ref", "field_name")).alias("at"))
+    several = survey.where("kind = 'k'").groupBy("key").agg(F.min("n").alias("x"), F.max("n").alias("y")).where("x <> y").select("key")
+    twins = variants.join(several, "key").select("key", "at.ref", "at.field_name")
+    letters = Letters(counts)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("score", pa.array([letters.whole(v) for v in b["value"].to_pylist()], pa.float64()))
+
+    rated = stored(twins.join(values.withColumnRenamed("id", "ref"), ["ref", "field_name"]).select("key", "value").mapInArrow(rate, "key string, value string, score double"), "twins")
+    best = rated.groupBy("key").agg(F.max(F.struct("score", "value"))["value"].alias("best"), F.min("value").alias("low"), F.max("value").alias("high"))
+    pairs = rated.join(best, "key").select(F.col("value").alias("a"), F.explode(F.array_distinct(F.array("best", "low", "high"))).alias("b")).where("a <> b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    explained = pairs.mapInArrow(lambda batches: _explain(batches, letters.whole), "written string, read string, garbled string, clean string, n bigint")
+    found = explained.groupBy("written", "read", "garbled", "clean").agg(F.sum("n").alias("n")).collect()
+    proof: Counter = Counter()
+    for r in found:
+        if r["written"]:
+            proof[r["written"], r["read"]] += r["n"]
+    learned = sorted((k for k, n in proof.items() if n >= PROOF), key=lambda k: (-proof[k], k))
+    return counts, learned, _own_map([(r["garbled"], r["clean"], r["n"]) for r in found if not r["written"]])
+
+
+def _own_map(seen: list[tuple[str, str, int]], least: int = 2, share: float = 0.9) -> dict[str, dict[str, str]]:
+    """The map of characters whose image several pairs agree on; none where too few of them are left."""
+    total: Counter = Counter()
+    for g, _, n in seen:
+        total[g] += n
+    m = {g: c for g, c, n in seen if n >= least and n >= share * total[g]}
+    return {"own": m} if len(m) >= LEAST_MAP and len(set(m.values())) == len(m) else {}
 
 
 def repair(df: DataFrame, id_col: str, fields: tuple[str, ...], margin: float = 2.0) -> DataFrame:
     """Garbled fields of ``df``: (id, field_name, garbled value, repaired, recovered)."""
-    counts, learned = learn(df, id_col, fields)
+    counts, learned, maps = learn(df, id_col, fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fix = Repairer(counts, learned, margin)
+        fix = Repairer(counts, learned, maps, margin)
         for b in batches:
             got = [fix.value(v) for v in b["value"].to_pylist()]
             keep = pa.array([g[1] for g in got], pa.bool_())
@@ -308,4 +383,4 @@ def repair(df: DataFrame, id_col: str, fields: tuple[str, ...], margin: float =
 
     values = _fields(df, id_col, fields)
     kind = values.schema["id"].dataType.simpleString()
-    return values.mapInArrow(apply, f"id {kind}, field_name string, value string, repaired string, recovered boolean").withColumnRenamed("id", id_col)
+    return spread(values).mapInArrow(apply, f"id {kind}, field_name string, value string, repaired string, recovered boolean").withColumnRenamed("id", id_col)

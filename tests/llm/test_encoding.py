@@ -47,3 +47,25 @@ def test_repair(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "result_id bigint, text string, title string")
     assert E.repair(df, "result_id", ("text", "title")).count() == 0
+
+
+def test_every_variant_meets_a_clean_twin(spark):
+    """A clean text with several garbled twins teaches each of their transformations; a pair outside the grid teaches its characters."""
+    rows = [(i, RU.format(i, i + 3)) for i in range(60)]
+    clean = RU.format(3, 6)
+    rows += [(100, garble(clean, "koi8-r", "cp1251")), (101, garble(clean, "cp1251", "cp866")), (102, garble(clean, "cp866", "koi8-r"))]
+    df = spark.createDataFrame(rows, "i bigint, text string")
+    _, learned, maps = E.learn(df, "i", ("text",))
+    assert {("koi8-r", "cp1251"), ("cp1251", "cp866"), ("cp866", "koi8-r")} <= set(learned) and not maps
+    own = {k: chr(0x2D00 + i) for i, k in enumerate(sorted({ch for ch in RU if ch > "\x7f"}))}  # no encoding does this
+    swap = lambda t: "".join(own.get(ch, ch) for ch in t)
+    more = [(200 + k, swap(RU.format(k, k + 3))) for k in (5, 6, 7)] + [(300, swap("удаление сульфатов при разных условиях"))]
+    df = spark.createDataFrame(rows + more, "i bigint, text string")
+    assert len(E.learn(df, "i", ("text",))[2]["own"]) >= E.LEAST_MAP
+    got = {r["i"]: r["repaired"] for r in E.repair(df, "i", ("text",)).collect()}
+    assert got[300] == "удаление сульфатов при разных условиях"
+
+
+def test_bigrams_are_bounded():
+    text = "".join(chr(0x4E00 + k) for k in range(5000))
+    assert len(set(E.bigrams(text))) < 1500 and list(E.bigrams("ёж")) == [" ё", "ёж", "ж "]
