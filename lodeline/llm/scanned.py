@@ -17,14 +17,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import pairwise, product
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.runtime import col, stored
+from lodeline.runtime import col, spread, stored
 
 # What a scanner may read (right) for what was printed (left).
 CONFUSIONS = (
@@ -35,7 +35,8 @@ CONFUSIONS = (
 )
 CHEAP = 0.3
 MAX_WORD = 32
-MAX_COMMON = 50_000  # size bound of the word set that every task holds; rarer words go through the join
+MAX_COMMON = 50_000  # size of the word set that spares every task the frequent words; it decides nothing, all other words take the join
+LINES = 3  # distinct texts in which a line has to stand between the halves of a sentence to be a running one
 PREFIX = 7  # deletes are taken from this prefix, as in the symmetric-delete method
 RATIO = 20  # a candidate has to be at least so many times as frequent as the word
 
@@ -54,6 +55,9 @@ TO_DIGIT = str.maketrans({"O": "0", "o": "0", "О": "0", "l": "1", "I": "1", "S"
 MIXED_NUMBER = re.compile(r"\d[.,]?[OolISBZбОЗ]|[OolISBZбОЗ][.,]?\d")
 BROKEN = re.compile(r"[^\W\d_][-‐¬\xad][ \t]*\n")
 MOVED = re.compile(r" ([.,;:])(?=[^\W\d_])")  # a mark that went over to the next word
+OPEN_BREAK = r"\p{L}-[ \t]*\n[ \t]*\p{Ll}"  # a hyphen at a line end that may belong to a compound
+OPEN_LINE = r"\S[ \t]*\n[ \t]*\p{Lu}[^\n]{2,88}[\p{L}\p{N}][ \t]*\n[ \t]*\p{Ll}"  # a line that may be a running one inside a sentence
+DIGIT_INSIDE = r"\p{L}[0-9]+\p{L}|^[0-9]\p{L}{3,}|\p{L}{3,}[0-9]$"
 BLANK = re.compile(r"[ \t]*\n[ \t]*\n\s*")
 ITEM = re.compile(r"\s*(?:[-•·–—*]\s|\d{1,3}[.)]\s|[a-zа-я]\)\s)|\s*[-+]?\d+(?:[.,]\d+)?\s*$|.*\s\|\s|---")
 SEPARATOR = re.compile(r"\s*[|;\t]\s*| {2,}")
@@ -74,6 +78,36 @@ def deletes(word: str, depth: int = 2) -> set[str]:
     return out
 
 
+def _classes() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters that confusions connect, each with the first of its class; and pairs of letters read for one."""
+    head: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while head.get(x, x) != x:
+            x = head[x]
+        return x
+
+    first: dict[str, str] = {}
+    for printed, read in CONFUSIONS:
+        other = read if len(read) == 1 else first.setdefault(read, printed)
+        a, b = sorted((find(printed), find(other)))
+        head[b] = a
+        head.setdefault(a, a)
+    return {x: find(x) for x in head}, {read: find(printed) for read, printed in first.items()}
+
+
+_ONE, _TWO = _classes()
+_TWO_LETTERS = re.compile("|".join(sorted({"".join(p) for k in _TWO for p in product(*([x for x in _ONE if _ONE[x] == _ONE.get(ch, ch)] or [ch] for ch in k))})))
+_CLASS = str.maketrans(_ONE)
+
+
+def canonical(word: str) -> str:
+    """What all words that confusions alone tell apart have in common."""
+    classes = {"".join(_ONE.get(ch, ch) for ch in k): v for k, v in _TWO.items()}
+    x = _TWO_LETTERS.sub(lambda m: classes[m.group().translate(_CLASS)], word)
+    return x.translate(_CLASS)
+
+
 _TO: dict[str, list[str]] = {}
 for _printed, _read in CONFUSIONS:
     _TO.setdefault(_read, []).append(_printed)
@@ -170,29 +204,47 @@ def _beside(lines: list[str], running: set[int], table: bool) -> set[int]:
     return more
 
 
-def broken_words(text: str, known: set[str]) -> list[re.Match]:
-    """Places where a word is broken across two lines; compounds that keep their hyphen are none."""
+def broken_words(text: str, kept: set[str]) -> list[re.Match]:
+    """Places where a word is broken across two lines; the compounds in ``kept`` keep their hyphen and are none."""
     if not BROKEN.search(text):
         return []
     out = []
     for m in BREAK.finditer(text):
         a, mark, b = m.groups()
-        if mark != "-" or (b[0].islower() and (a + b in known or not (a in known and b in known))):
+        if mark != "-" or (b[0].islower() and f"{a}-{b}" not in kept):
             out.append(m)
     return out
 
 
+def open_lines(text: str) -> Iterator[tuple[int, str]]:
+    """Lines between two halves of a sentence that end although the next word would have found room."""
+    lines = text.split("\n")
+    for i in range(1, len(lines) - 1):
+        x = lines[i].strip()
+        if not 4 <= len(x) <= 90 or not x[0].isupper() or not x[-1].isalnum() or x.isupper() or ". " in x or ITEM.match(lines[i]):
+            continue
+        before, after = lines[i - 1].strip(), lines[i + 1].strip()
+        if not before or not after or not after[0].islower() or SENTENCE_END.search(before):
+            continue
+        width = max((len(lines[k]) for k in range(max(0, i - 4), min(len(lines), i + 5)) if k != i), default=0)
+        if len(x) + 1 + len(after.split()[0]) <= width - 2:
+            yield i, x
+
+
 class Page:
     """What scanning did to one text: running lines, broken words, misread numbers; ``clean`` is without them."""
 
     __slots__ = ("breaks", "clean", "numbers", "running")
 
-    def __init__(self, text: str, known: set[str], table: bool):
+    def __init__(self, text: str, marks: set[str], table: bool):
+        """``marks`` are the settled doubts of this text: compounds with their hyphen, running lines after a line break."""
         self.running = running_lines(text, table)
+        if marks and not table:
+            self.running = sorted({*self.running, *(i for i, x in open_lines(text) if "\n" + x in marks)})
         if self.running:
             drop = set(self.running)
             text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
-        spots = broken_words(text, known)
+        spots = broken_words(text, marks)
         self.breaks = len(spots)
         for m in reversed(spots):
             text = text[: m.start()] + m.group(1) + m.group(3) + text[m.end() :]
@@ -227,7 +279,7 @@ def _inputs(tables: dict[str, tuple[DataFrame, str, str]], as_table: set[str]) -
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out
+    return spread(out)
 
 
 def _gram(a: str, b: str) -> int:
@@ -270,7 +322,7 @@ def _delete_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         word, n, key = [], [], []
         for w, k in zip(b["word"].to_pylist(), b["n"].to_pylist()):
-            for x in deletes(w):
+            for x in (*deletes(w), "=" + canonical(w)):
                 word.append(w), n.append(k), key.append(x)
         yield pa.record_batch([pa.array(word, pa.string()), pa.array(n, pa.int64()), pa.array(key, pa.string())], ["word", "n", "key"])
 
@@ -284,38 +336,79 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, candidate, candidate_n, cost): what each rare word may have been, from the symmetric-delete index.
 
-    Both sides of the join are distinct words, not occurrences; a key is a prefix of at most PREFIX characters
-    with two left out, and only words at least ``ratio`` times as frequent stand on the index side.
+    Both sides of the join are distinct words, not occurrences. A key is a prefix of at most PREFIX characters
+    with two left out, or the whole word by classes of confused letters, which any number of confusions leaves
+    alone; with it goes a band of lengths. A word on the index side is ``ratio`` times as frequent; for a digit
+    among letters it is enough that a word without one is as frequent.
     """
-    sized = words.where(F.length("word").between(3, MAX_WORD))
+    sized = words.where(F.length("word").between(3, MAX_WORD) & F.col("word").rlike(r"\p{L}"))
     keys = sized.mapInArrow(_delete_keys, "word string, n bigint, key string")
-    index = keys.where(F.col("n") >= ratio).select("key", F.col("word").alias("candidate"), F.col("n").alias("candidate_n"))
-    rare = keys.where(F.length("word") >= 4)
-    near = rare.join(index, "key").where((F.col("candidate_n") >= ratio * F.col("n")) & (F.abs(F.length("word") - F.length("candidate")) <= 2))
+    band = lambda shift: F.floor((F.length("word") + shift) / 5)
+    index = keys.where("n >= 5").select("key", band(0).alias("band"), F.col("word").alias("candidate"), F.col("n").alias("candidate_n"))
+    digit = F.col("word").rlike(DIGIT_INSIDE)
+    rare = keys.where(F.length("word") >= 4).select("key", "word", "n", digit.alias("digit"), F.explode(F.array_distinct(F.array(band(-2), band(2)))).alias("band"))
+    more = F.col("candidate_n") >= F.when(F.col("digit") & ~F.col("candidate").rlike("[0-9]"), F.col("n")).otherwise(ratio * F.greatest("n", F.lit(1)))
+    near = rare.join(index, ["key", "band"]).where(more & (F.abs(F.length("word") - F.length("candidate")) <= 2) & (F.col("word") != F.col("candidate")))
     return near.select("word", "candidate", "candidate_n").distinct().mapInArrow(_verify, "word string, candidate string, candidate_n bigint, cost double")
 
 
+def _doubts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(table_name, record_id, h, mark, left, right) of the compounds and lines that only the corpus can settle; h is the text's hash."""
+    for b in batches:
+        rows = []
+        for name, key, tab, text in zip(*(b[c].to_pylist() for c in ("table_name", "record_id", "tabular", "text"))):
+            h = xxhash.xxh64_intdigest(text) - (1 << 63)
+            rows += {(name, key, h, f"{m[1]}-{m[3]}", m[1], m[3]) for m in BREAK.finditer(text) if m[2] == "-" and m[3][0].islower()}
+            if not tab:
+                rows += {(name, key, h, "\n" + x, None, None) for _, x in open_lines(text)}
+        yield pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate(_DOUBT.types)], schema=_DOUBT)
+
+
+_DOUBT = pa.schema([("table_name", pa.string()), ("record_id", pa.string()), ("h", pa.int64()), ("mark", pa.string()), ("left", pa.string()), ("right", pa.string())])
+
+
+def settled(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(table_name, record_id, marks): compounds that keep their hyphen and lines that are running ones, settled by joins with the whole lexicon.
+
+    A compound keeps its hyphen where both parts are words and the joined form is none; a line is a running one
+    where LINES distinct texts have it between the halves of a sentence.
+    """
+    doubts = stored(texts.mapInArrow(_doubts, "table_name string, record_id string, h bigint, mark string, left string, right string"), "doubts")
+    pairs = doubts.where("left is not null").select("mark", "left", "right").distinct()
+    w = words.select("word")
+    kept = (
+        pairs.join(w.withColumnRenamed("word", "left"), "left", "left_semi").join(w.withColumnRenamed("word", "right"), "right", "left_semi")
+        .withColumn("word", F.concat("left", "right")).join(w, "word", "left_anti").select("mark")
+    )
+    lines = doubts.where("left is null").groupBy("mark", "h").agg(F.lit(1).alias("one")).groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") >= LINES).select("mark")
+    return doubts.select("table_name", "record_id", "mark").distinct().join(kept.unionByName(lines), "mark").groupBy("table_name", "record_id").agg(F.collect_set("mark").alias("marks"))
+
+
 def repair(tables: dict[str, tuple[DataFrame, str, str]], as_table: set[str] = frozenset(), ratio: int = RATIO) -> DataFrame:
     """Damaged records: (table_name, record_id, breaks, running_lines, numbers, words, text, repaired).
 
-    Two passes over the texts: counts, then inspection. Of the second only records with any trace go on, with
-    their unknown words, to the joins with candidates and bigram counts.
+    Two passes over the texts: counts, over distinct texts so that copies have no more say than one, then
+    inspection. Of the second only records with any trace go on, with their unknown words, to the joins with
+    candidates and bigram counts. Texts with doubtful compounds or lines, and only those, are joined with their verdicts.
     """
     texts = _inputs(tables, set(as_table))
-    counts = stored(texts.select("text").mapInArrow(_count, "word string, gram bigint, n bigint"), "counts")
+    counts = stored(texts.select("text").distinct().mapInArrow(_count, "word string, gram bigint, n bigint"), "counts")
     words = stored(counts.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
     grams = counts.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("gram_n"))
     may_be = stored(candidates(words, ratio), "candidates")
-    plain = words.where(F.col("n") >= 5).join(may_be.select("word").distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(MAX_COMMON)
-    known = frozenset(r["word"] for r in plain.select("word").collect())
+    plain = stored(words.where(F.col("n") >= 5).join(may_be.select("word").distinct(), "word", "left_anti"), "plain")
+    known = frozenset(r["word"] for r in plain.orderBy(F.desc("n"), "word").limit(MAX_COMMON).select("word").collect())
+    doubtful = F.col("text").rlike(OPEN_BREAK) | (~F.col("tabular") & F.col("text").rlike(OPEN_LINE))
+    some = texts.where(doubtful)
+    plain_texts = texts.where(~doubtful).withColumn("marks", F.lit(None).cast("array<string>"))
+    every = some.join(settled(some, plain), ["table_name", "record_id"], "left").unionByName(plain_texts)
 
     def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fine: set[str] = set()  # raw tokens made of known words only
         for b in batches:
-            names, ids, tabs = (b[c].to_pylist() for c in ("table_name", "record_id", "tabular"))
             rows = []
-            for name, key, tab, text in zip(names, ids, tabs, b["text"].to_pylist()):
-                page = Page(text, known, tab)
+            for name, key, tab, text, marks in zip(*(b[c].to_pylist() for c in ("table_name", "record_id", "tabular", "text", "marks"))):
+                page = Page(text, {*marks} if marks else set(), tab)
                 odd = False
                 for t in set(page.clean.split()).difference(fine):
                     if all(w in known or len(w) < 4 or len(w) > MAX_WORD for w in WORD.findall(t)):
@@ -332,7 +425,7 @@ def repair(tables: dict[str, tuple[DataFrame, str, str]], as_table: set[str] = f
                     rows.append((name, key, tab, page.breaks, len(page.running), page.numbers, text, page.clean, found))
             yield pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate(_INSPECTED.types)], schema=_INSPECTED)
 
-    seen = stored(texts.mapInArrow(inspect, _INSPECTED_DDL), "inspected")
+    seen = stored(every.mapInArrow(inspect, _INSPECTED_DDL), "inspected")
     spots = seen.select("table_name", "record_id", F.explode("odd").alias("o")).select("table_name", "record_id", "o.*").join(may_be, "word")
     side = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.concat_ws(" ", a, b))
     wanted = stored(spots.withColumns({"left": side("before", "candidate"), "right": side("candidate", "after")}), "spots")

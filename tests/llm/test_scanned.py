@@ -27,10 +27,21 @@ def test_running_lines():
 
 
 def test_compounds_keep_their_hyphen():
-    known = {"low", "temperature", "measurement"}
-    assert not S.broken_words("at low-\ntemperature", known)
-    assert S.broken_words("a measure-\nment", known)
-    assert S.broken_words("a meas\xad\nurement", known)
+    assert not S.broken_words("at low-\ntemperature", {"low-temperature"})
+    assert S.broken_words("a measure-\nment", {"low-temperature"})
+    assert S.broken_words("a meas\xad\nurement", set())
+
+
+def test_confusions_share_a_key():
+    for read, printed in (("rnodcrn", "modern"), ("c1ear", "clear"), ("vvater", "water"), ("рудн0го", "рудного"), ("cath0dc", "cathode"), ("rnrnetcr", "mmeter")):
+        assert S.canonical(read) == S.canonical(printed)
+    assert S.canonical("metal") != S.canonical("model")
+
+
+def test_open_lines():
+    text = "the molten slag was cooled in the pond and then\nSlag and Matte Bulletin\nmoved to the heap beside the old shaft."
+    assert [x for _, x in S.open_lines(text)] == ["Slag and Matte Bulletin"]
+    assert not list(S.open_lines("It ended.\nSlag and Matte Bulletin\nmoved to the heap.")) and not list(S.open_lines(""))
 
 
 def test_paragraphs():
@@ -54,3 +65,22 @@ def test_repair(spark):
 def test_empty(spark):
     r = spark.createDataFrame([], "result_id bigint, text string")
     assert S.repair({"retrieval_results": (r, "result_id", "text")}).count() == 0
+
+
+def doubtful(spark):
+    rows = [(i, LINE.replace("molten metal", f"molten metal at low temperature {i}"), "q") for i in range(40)]
+    rows += [(200 + k, f"Run {k} ended in the pond where the sampled metal was cooled and then\nSlag and Matte Bulletin\nmoved to the old heap beside the settler, test {k}.", "q") for k in range(3)]
+    rows += [(300, LINE.replace("molten metal", "low-\ntemperature"), "q"), (301, LINE.replace("measurement", "measure-\nment"), "q")]
+    rows += [(400 + k, LINE.replace("molten metal", "molten rnetal"), "q") for k in range(60)]  # copies have no more say than one text
+    return spark.createDataFrame(rows, "result_id bigint, text string, breaks string")
+
+
+def test_no_size_decides(spark, monkeypatch):
+    """Few or many words in the tasks' own set: the same records and texts."""
+    seen = []
+    for most in (S.MAX_COMMON, 10, 0):
+        monkeypatch.setattr(S, "MAX_COMMON", most)
+        seen.append(sorted((r["record_id"], r["repaired"]) for r in S.repair({"r": (doubtful(spark), "result_id", "text")}).collect()))
+    assert seen[0] == seen[1] == seen[2]
+    assert {k for k, _ in seen[0]} == {"200", "201", "202", "301", *(str(400 + k) for k in range(60))}
+    assert all("Bulletin" not in t for k, t in seen[0] if k.startswith("20"))
