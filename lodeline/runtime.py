@@ -87,12 +87,13 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED or on_one_machine(spark):
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as t:  # the driver's own copy; Spark serves it to the executors
-        target = Path(t) / f"{root.name}.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(target))
+    folder = tempfile.mkdtemp(prefix="lodeline-code-")  # on the driver, which serves the file until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(app)
 
 
