@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.llm.letters import latin
-from lodeline.runtime import col, stored
+from lodeline.runtime import col, has_rows, spread, stored
 
 # Given names with their short forms, in Latin letters.
 GIVEN = {
@@ -85,6 +85,9 @@ def slips(length: int) -> int:
     return 0 if length < 4 else 1 if length < 7 else 2
 
 
+ORCID_NAMES = 3  # surnames that one ORCID may stand with
+
+
 def segment_spans(length: int, k: int) -> list[tuple[int, int]]:
     size, extra = divmod(length, k + 1)
     out, at = [], 0
@@ -95,18 +98,36 @@ def segment_spans(length: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def index_keys(name: str, k: int = 2) -> set[str]:
-    """Segments of an indexed name with its length and their number."""
-    return {f"{len(name)}.{i}.{name[p : p + n]}" for i, (p, n) in enumerate(segment_spans(len(name), k)) if n}
+def index_keys(name: str) -> set[str]:
+    """Segments of an indexed name with its length and their number; there is one more than the slips that its length allows."""
+    k = slips(len(name))
+    return {f"{len(name)}.{i}.{name[p : p + n]}" for i, (p, n) in enumerate(segment_spans(len(name), k)) if n} if k else set()
+
 
+def probe_keys(name: str) -> set[str]:
+    """Substrings at shifted places that a name within the slips, of any nearby length, would have as a segment.
 
-def probe_keys(name: str, k: int = 2) -> set[str]:
-    """Substrings at shifted places that a name within ``k`` edits, of any nearby length, would have as a segment."""
+    A swap of neighbours is one slip but touches two segments where it lies between them, so the segments on
+    both sides of a border are also looked up with the letters at the border swapped back.
+    """
     out = set()
-    for length in range(max(1, len(name) - k), len(name) + k + 1):
-        for i, (p, n) in enumerate(segment_spans(length, k)):
-            if n:
-                out.update(f"{length}.{i}.{name[q : q + n]}" for q in range(max(0, p - k), min(len(name) - n, p + k) + 1))
+    most = slips(len(name) + 2)
+    for length in range(max(1, len(name) - most), len(name) + most + 1):
+        k = slips(length)
+        if abs(length - len(name)) > k or not k:
+            continue
+        spans = segment_spans(length, k)
+        for i, (p, n) in enumerate(spans):
+            out.update(f"{length}.{i}.{name[q : q + n]}" for q in range(max(0, p - k), min(len(name) - n, p + k) + 1))
+            for shift in range(-(k - 1), k):
+                q = p + shift  # the border before this segment, as shifted by slips further ahead
+                if i and 0 < q < len(name):
+                    x = name[: q - 1] + name[q] + name[q - 1] + name[q + 1 :]
+                    before = spans[i - 1][1]
+                    if q >= before:
+                        out.add(f"{length}.{i - 1}.{x[q - before : q]}")
+                    if q + n <= len(x):
+                        out.add(f"{length}.{i}.{x[q : q + n]}")
     return out
 
 
@@ -341,7 +362,7 @@ def entities(df: DataFrame, id_col: str = "author_id", raw_col: str = "raw_name"
     pick = {"raw": raw_col, "norm": normal_col, "email": email_col, "orcid": orcid_col}
     base = df.select(col(id_col).cast("string").alias("id"), *(F.nullif(F.trim(col(c)), F.lit("")).alias(n) for n, c in pick.items()), col(affiliation_col).alias("aff"), (col(role_col) == "organization").alias("o")).where("id is not null")
     one = base.groupBy("id").agg(*(F.max(n).alias(n) for n in pick), F.max("aff").alias("aff"), F.coalesce(F.max("o"), F.lit(False)).alias("is_org"))
-    parsed = stored(one.mapInArrow(_parsed, "id string, is_org boolean, place string, kind string, surname string, given string, patronymic string, email string, orcid string"), "parsed")
+    parsed = stored(spread(one).mapInArrow(_parsed, "id string, is_org boolean, place string, kind string, surname string, given string, patronymic string, email string, orcid string"), "parsed")
 
     places = parsed.where("place <> ''").groupBy(F.col("place").alias("name")).agg(F.count("*").alias("n"))
     place_of = _near_spellings(places, None).select(F.col("name").alias("place"), F.col("target").alias("at"))
@@ -360,41 +381,64 @@ def entities(df: DataFrame, id_col: str = "author_id", raw_col: str = "raw_name"
     local = stored(people.where("place <> ''").join(surname_of, ["place", "surname"]).withColumn("surname", F.col("as")).drop("as"), "local")
     profiles = local.groupBy("place", "surname").agg(F.collect_set(F.struct("kind", "given", "patronymic")).alias("profiles"))
     known = stored(profiles.mapInArrow(_people, "place string, surname string, kind string, given string, patronymic string, entity string"), "people")
-    placed = local.join(known, ["place", "surname", "kind", "given", "patronymic"]).select("id", "email", "orcid", "entity")
+    placed = local.join(known, ["place", "surname", "kind", "given", "patronymic"]).select("id", "email", "orcid", "surname", "entity")
 
-    # people without a place: the segment join against all surnames with the same initial
+    # people without a place: the segment join against all surnames with the same initial, or all where it is missing
     initial = F.substring("given", 1, 1)
-    lost = people.where("place = ''").select("id", F.concat(initial, F.lit("|")).alias("grp"), F.col("surname").alias("name"), "given", "patronymic", "email", "orcid")
+    lost = stored(people.where("place = ''").select("id", F.concat(initial, F.lit("|")).alias("grp"), F.col("surname").alias("name"), "given", "patronymic", "email", "orcid"), "lost")
+    lost_profiles = lost.select("grp", "name", "given", "patronymic").distinct()
     lost_names = lost.select("grp", "name").distinct().withColumn("n", F.lit(0).cast("bigint"))
-    full = known.where("entity is not null").withColumn("grp", F.concat(initial, F.lit("|")))
+    full = known.where("entity is not null").withColumn("grp", F.explode(F.array_distinct(F.array(F.concat(initial, F.lit("|")), F.lit("|")))))
     full_names = full.select("grp", F.col("surname").alias("name")).distinct().withColumn("n", F.lit(1).cast("bigint"))
     near = (
         lost_names.mapInArrow(_probe, "grp string, name string, n bigint, key string").alias("p")
         .join(full_names.mapInArrow(_index, "grp string, name string, n bigint, key string").alias("i"), (F.col("p.grp") == F.col("i.grp")) & (F.col("p.key") == F.col("i.key")))
-        .select("p.grp", "p.name", F.col("i.name").alias("target"), F.col("i.n").alias("m")).distinct()
+        .select("p.grp", "p.name", F.col("i.name").alias("target"), F.col("i.n").alias("m"))
+        .unionByName(lost_names.join(full_names.select("grp", "name", F.col("n").alias("m")), ["grp", "name"]).select("grp", "name", F.col("name").alias("target"), "m")).distinct()
         .mapInArrow(_check, "grp string, name string, target string, m bigint, d int")
     )
-    options = lost.join(near, ["grp", "name"]).join(full.select("grp", F.col("surname").alias("target"), F.col("given").alias("g"), F.col("patronymic").alias("pa"), "entity"), ["grp", "target"])
-    fitting = options.mapInArrow(_fitting, "id string, entity string, d int")
-    best = fitting.groupBy("id", "d").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).groupBy("id").agg(F.min_by(F.struct("a", "b"), "d").alias("x"))
+    options = lost_profiles.join(near, ["grp", "name"]).join(full.select("grp", F.col("surname").alias("target"), F.col("given").alias("g"), F.col("patronymic").alias("pa"), "entity"), ["grp", "target"])
+    profile = ["name", "given", "patronymic"]
+    fitting = options.mapInArrow(_fitting, "name string, given string, patronymic string, entity string, d int")
+    best = fitting.groupBy(*profile, "d").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).groupBy(*profile).agg(F.min_by(F.struct("a", "b"), "d").alias("x"))
     alike = F.when((F.length("given") > 3) & (F.col("patronymic") != ""), F.concat_ws(":", F.lit("q"), "name", "given", F.substring("patronymic", 1, 1)))
     found = (
-        lost.join(best, "id", "left")
-        .select("id", "email", "orcid", F.when(F.col("x.a") == F.col("x.b"), F.col("x.a")).when(F.col("x").isNull(), alike).alias("entity"))
+        lost.join(best, profile, "left")
+        .select("id", "email", "orcid", F.col("name").alias("surname"), F.when(F.col("x.a") == F.col("x.b"), F.col("x.a")).when(F.col("x").isNull(), alike).alias("entity"))
     )
 
     # e-mail addresses and ORCIDs settle what is still open
     every = stored(placed.unionByName(found), "every")
     for c in ("orcid", "email"):
         by = every.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("entity").alias("seen"), F.min("id").alias("any"))
-        every = every.join(by, c, "left").withColumn("entity", F.coalesce("entity", "seen", F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), "any")))).select("id", "email", "orcid", "entity")
-    return every.where("entity is not null").select("id", "entity").unionByName(org_entity)
+        every = every.join(by, c, "left").withColumn("entity", F.coalesce("entity", "seen", F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), "any")))).select("id", "email", "orcid", "surname", "entity")
+    every = stored(every.where("entity is not null"), "settled")
+    one = _joined(every)
+    settled = every.join(one, "entity", "left").select("id", F.coalesce("first", "entity").alias("entity"))
+    return settled.unionByName(org_entity)
+
+
+def _joined(every: DataFrame) -> DataFrame:
+    """(entity, first) of the entities that ORCIDs join to others, by passing the first name on until nothing changes.
+
+    An ORCID with more than ORCID_NAMES surnames is a placeholder and joins nobody.
+    """
+    marked = every.where("orcid is not null")
+    several = marked.groupBy("orcid").agg(F.min("entity").alias("x"), F.max("entity").alias("y"), F.count_distinct("surname").alias("n")).where((F.col("x") != F.col("y")) & (F.col("n") <= ORCID_NAMES))
+    links = stored(marked.select("orcid", "entity").distinct().join(several.select("orcid"), "orcid"), "orcids")
+    label = stored(links.select("entity", F.col("entity").alias("first")).distinct(), "label")
+    while True:
+        least = links.join(label, "entity").groupBy("orcid").agg(F.min("first").alias("first"))
+        new = stored(links.join(least, "orcid").groupBy("entity").agg(F.min("first").alias("first")), "label")
+        if not has_rows(new.join(label, ["entity", "first"], "left_anti")):
+            return new
+        label = new
 
 
 def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(i, e, d) for i, g, p, h, q, e, d in zip(*(b[c].to_pylist() for c in ("id", "given", "patronymic", "g", "pa", "entity", "d"))) if fits(g, h) and fits(p, q)]
-        yield pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.int32()))], ["id", "entity", "d"])
+        rows = [(n, g, p, e, d) for n, g, p, h, q, e, d in zip(*(b[c].to_pylist() for c in ("name", "given", "patronymic", "g", "pa", "entity", "d"))) if fits(g, h) and fits(p, q)]
+        yield pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate((*[pa.string()] * 4, pa.int32()))], ["name", "given", "patronymic", "entity", "d"])
 
 
 def pairs(linked: DataFrame, a: str = "author_id_a", b: str = "author_id_b") -> DataFrame:

@@ -33,17 +33,26 @@ def test_organisation():
 
 
 def test_segment_join_misses_nothing():
-    """Any two names within k edits share a key."""
+    """Any two names within the slips that their lengths allow share a key, one swap of neighbours included."""
     r = random.Random(3)
-    for _ in range(3000):
-        a = "".join(r.choice("abcd") for _ in range(r.randint(5, 12)))
+    met = 0
+    for _ in range(20_000):
+        a = "".join(r.choice("abcd") for _ in range(r.randint(4, 12)))
         b = list(a)
+        swaps = 0
         for _ in range(r.randint(0, 2)):
             k = r.randrange(len(b))
-            b[k : k + 1] = r.choice([[], [r.choice("abcd")], [b[k], r.choice("abcd")]])
+            if r.random() < 0.3 and not swaps and k + 1 < len(b):
+                b[k], b[k + 1] = b[k + 1], b[k]
+                swaps = 1
+            elif b:
+                b[k : k + 1] = r.choice([[], [r.choice("abcd")], [b[k], r.choice("abcd")]])
         b = "".join(b) or "a"
-        if abs(len(a) - len(b)) <= 2:
+        most = N.slips(min(len(a), len(b)))
+        if most and N.distance(a, b, most) <= most:
+            met += 1
             assert N.index_keys(a) & N.probe_keys(b), (a, b)
+    assert met > 5000
 
 
 def test_distance():
@@ -77,3 +86,12 @@ def test_settle_leaves_the_undecided_alone():
     p = [{"kind": "", "given": g, "patronymic": q} for g, q in (("sergey", "petrovich"), ("semyon", "ivanovich"), ("s", ""))]
     assert N.settle(p) == [0, 1, None] or N.settle(p) == [1, 0, None]
     assert F is not None
+
+
+def test_orcid_joins_entities_and_missing_parts_meet_all(spark):
+    """An ORCID joins what spelling can't, a placeholder ORCID nobody; a surname alone meets the one person who has it."""
+    rows = [("a1", "Ivan Zevobumchuk", "Water Laboratory of Trasiminsk", "0000-0001"), ("a2", "Zevobumchuk, I.", "Water Laboratory of Pokelanovo", "0000-0001"), ("a3", "Zevobumchuk", None, None)]
+    rows += [(f"p{i}", f"Ivan {n}", "Water Laboratory of Trasiminsk", "0000-0000") for i, n in enumerate(("Karpelenko", "Bodurivsky", "Malotirov", "Gredunchak", "Sutovenko"))]
+    df = spark.createDataFrame([(i, n, None, [a] if a else None, None, o, "author") for i, n, a, o in rows], "author_id string, raw_name string, normalized_name string, affiliations array<string>, email string, orcid string, role string")
+    by = {r["id"]: r["entity"] for r in N.entities(df).collect()}
+    assert by["a1"] == by["a2"] and len({by[f"p{i}"] for i in range(5)}) == 5
