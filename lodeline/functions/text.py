@@ -14,7 +14,7 @@ WORD = r"[\p{L}\p{N}]+"
 EDGE = r"^[.+#%_-]+|[.+#%_-]+$"
 YEAR = r"(19[5-9][0-9]|20[0-2][0-9]|203[0-5])"
 DOI = r"10\.[0-9]{4,9}/[^\s\"<>]+"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+EMAIL = r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"  # of a text in lower case
 NUMBER_UNIT = r"[0-9]+(?:[.,][0-9]+)? ?(?:%|°C|mg/L|mm|m3/h|kt|Mt|h|s)"
 
 
@@ -123,12 +123,16 @@ def alias_match(text: Column, toks: Column, alias: str) -> Column:
     return F.exists(toks, lambda t: t.startswith(alias))
 
 
-def script_language(x: Column, window: int = 4000, ratio: float = 0.2) -> Column:
-    """ru, en, mixed or unknown by the letters of the first ``window`` characters."""
-    head = F.lower(F.substring(x, 1, window))
-    ru, en = F.length(F.regexp_replace(head, "[^а-яё]", "")), F.length(F.regexp_replace(head, "[^a-z]", ""))
-    top = F.greatest(ru, en)
-    return F.when((top == 0) | x.isNull(), "unknown").when(F.least(ru, en) / top > ratio, "mixed").when(ru > en, "ru").otherwise("en")
+def script_language(x: Column, window: int | None = None, ratio: float = 0.2) -> Column:
+    """ru, en, mixed or unknown by the letters of the whole text, or of its first ``window`` characters."""
+    head = F.lower(F.substring(x, 1, window) if window else x)
+    counts = F.struct(F.length(F.regexp_replace(head, "[^а-яё]", "")).alias("ru"), F.length(F.regexp_replace(head, "[^a-z]", "")).alias("en"))
+
+    def verdict(c: Column) -> Column:
+        ru, en, top = c["ru"], c["en"], F.greatest(c["ru"], c["en"])
+        return F.when((top == 0) | top.isNull(), "unknown").when(F.least(ru, en) / top > ratio, "mixed").when(ru > en, "ru").otherwise("en")
+
+    return once(counts, verdict)
 
 
 def matches(x: Column, pattern: str, group: int = 0) -> Column:

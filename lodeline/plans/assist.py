@@ -132,26 +132,52 @@ def m2_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d1_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Baseline record of every document: title, years and language guessed from the text alone."""
+    """Baseline record of every document from the whole text alone: title, years, first DOI and e-mail, kind, language, what the title rests on, and a confidence for it."""
     d = table(spark, sf_dir, "documents")
+    lower = F.lower("text")
     years = F.array_sort(T.matches(F.col("text"), T.YEAR, 1))
-    return d.select("doc_id", T.compact(F.coalesce("title", F.col("text")), 80).alias("title"), F.coalesce(F.try_element_at(years, F.lit(-1)), F.lit("")).alias("last_year"), F.size(years).cast("bigint").alias("years"), T.script_language(F.col("text"), 5000).alias("language"))
+    real = F.coalesce(F.nullif(T.collapse(F.col("title")), F.lit("")), F.lit("")) != ""
+    first = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit(""))
+    kind = F.when(F.col("section_kind").contains("table"), "table").when(F.length("text") < 200, "note").otherwise("text")
+    x = d.select(
+        "doc_id", T.compact(F.when(real, F.col("title")).otherwise(F.col("text")), 80).alias("title"), F.when(real, "title").otherwise("text").alias("evidence"), F.when(real, 550000).otherwise(350000).cast("bigint").alias("confidence"), years.alias("y"),
+        first(F.regexp_replace(F.regexp_extract(lower, f"({T.DOI})", 1), "[.,;)]+$", "")).alias("doi"), first(F.regexp_extract(lower, f"({T.EMAIL})", 1)).alias("email"), kind.alias("kind"), T.script_language(F.col("text")).alias("language"),
+    )
+    return x.select("doc_id", "title", "evidence", "confidence", F.coalesce(F.try_element_at("y", F.lit(-1)), F.lit("")).alias("last_year"), F.size("y").cast("bigint").alias("years"), "doi", "email", "kind", "language")
+
+
+REFUSAL = r"(?i)(cannot (help|assist)|can't (help|assist)|не могу помочь|as a language model)"
+
+
+def json_object(x: F.Column) -> F.Column:
+    """The JSON object within text, or null: without fences, from the first brace to the last one; nested objects are part of it."""
+    body = F.regexp_extract(F.regexp_replace(x, r"```(?:json)?", " "), r"(?s)(\{.*\})", 1)
+    return F.when((body != "") & F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).isNotNull(), body)  # in brackets, as a parser stops at the end of a lone object
 
 
 def d4_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON objects recovered from text around them: the first innermost pair of braces, if it parses."""
-    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("answer: "), "props", F.when(F.col("event_id") % 7 == 0, "}").otherwise(" end")).alias("s"))
-    body = F.regexp_extract("s", r"(\{[^{}]*\})", 1)
-    return e.select("event_id", F.try_parse_json(F.nullif(body, F.lit(""))).isNotNull().alias("ok"))
+    """JSON objects recovered from answers: fenced, nested, with text around them, broken or refused."""
+    e = table(spark, sf_dir, "events").select("event_id", "props")
+    k = F.col("event_id") % 5
+    s = F.when(k == 0, F.concat(F.lit("answer: "), "props", F.lit("}"))).when(k == 1, F.concat(F.lit('Here is it:\n```json\n{"outer": '), "props", F.lit("}\n```\n"))).when(k == 2, F.lit("I cannot help with that.")).otherwise(F.concat(F.lit("answer: "), "props", F.lit(" end")))
+    x = e.select("event_id", s.alias("s")).select("event_id", json_object(F.col("s")).alias("j"), F.col("s").rlike(REFUSAL).alias("refused"))
+    status = F.when(F.col("j").isNotNull(), "ok").when(F.col("refused"), "refused").otherwise("parse_failed")
+    return x.select("event_id", status.alias("status"), F.coalesce(F.length("j"), F.lit(0)).cast("bigint").alias("chars"))
 
 
 def d6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each record family by document kind."""
-    k = table(spark, sf_dir, "publications").groupBy("publication_id").agg(F.max("document_kind").alias("kind"))
+    """Rows of each of six record families by document kind; venues and evidence (retrieved chunks) go by their documents."""
+    p = table(spark, sf_dir, "publications")
+    kinds = p.groupBy("doc_id").agg(F.max("document_kind").alias("kind"))
     parts = []
-    for f in ("publication_authors", "procedure_summaries"):
-        parts.append(table(spark, sf_dir, f).join(k, "publication_id").groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(f).alias("family"), "kind", "n"))
-    return parts[0].union(parts[1])
+    for f in ("publications", "publication_authors", "procedure_summaries", "retrieval_results", "parsed_tables"):
+        n = table(spark, sf_dir, f).groupBy("doc_id").agg(F.count("*").alias("n"))
+        parts.append(n.join(kinds, "doc_id").groupBy("kind").agg(F.sum("n").alias("n")).select(F.lit(f).alias("family"), "kind", "n"))
+    venues = p.where("venue_name is not null").select(F.col("document_kind").alias("kind"), T.normalise(F.col("venue_name")).alias("v")).groupBy("kind").agg(F.count_distinct("v").alias("n"))
+    out = venues.select(F.lit("venues").alias("family"), "kind", "n")
+    for x in parts:
+        out = out.union(x)
+    return out
 
 
 def d13_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,10 +194,11 @@ def g3_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v3_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an index of the vectors would state, with a digest that doesn't depend on the order of rows."""
-    e = table(spark, sf_dir, "embeddings")
-    h = F.conv(F.substring(F.sha1(F.col("vec_id").cast("string")), 1, 12), 16, 10).cast("bigint")
-    return e.select("vec_id", F.size("embedding").alias("d"), h.alias("h")).agg(F.count("*").alias("count"), F.max("d").cast("bigint").alias("dimension"), F.bit_xor("h").alias("digest"))
+    """What an index of the retrieved chunks would state: rows that can stand in it, rows left out for a missing id or text, and a digest of (id, document, text) that doesn't depend on the order of rows."""
+    r = table(spark, sf_dir, "retrieval_results")
+    full = (F.coalesce("chunk_id", F.lit("")) != "") & (F.coalesce("doc_id", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != "")
+    h = F.conv(F.substring(F.sha1(F.concat_ws("|", F.col("result_id").cast("string"), "chunk_id", "doc_id", "text")), 1, 12), 16, 10).cast("bigint")
+    return r.select(full.alias("full"), F.when(full, h).alias("h"), "chunk_id").agg(F.count_if("full").alias("count"), F.count_if(~F.col("full")).alias("left_out"), F.count_distinct(F.when(F.col("full"), F.col("chunk_id"))).alias("chunks"), F.bit_xor("h").alias("digest"))
 
 
 def v4_hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,11 +254,17 @@ SQL = {
     "q16_messages": f"WITH r AS (SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY hit_rank, result_id) AS r FROM retrieval_results) SELECT query_id, string_agg('[' || r || '] ' || ({_cut('text', 80)}), chr(10) ORDER BY r) AS context FROM r WHERE r <= 3 GROUP BY ALL",
     "q19_sections": "WITH g AS (SELECT query_id, source_type, count(*) AS hits, count(*) FILTER (WHERE coalesce(title, '') <> '') AS titled FROM retrieval_results GROUP BY ALL) SELECT *, least(hits, CASE WHEN source_type = 'raw_chunk' THEN 20 ELSE 40 END)::BIGINT AS shown FROM g",
     "m2_sources": "WITH g AS (SELECT source, count(*) FILTER (WHERE contains(lower(text), 'price') OR contains(lower(text), 'premium') OR contains(lower(text), 'цен')) AS hits, count(*) AS documents FROM documents GROUP BY ALL) SELECT * FROM g WHERE hits > 0 ORDER BY hits DESC, source LIMIT 10",
-    "d1_bundle": rf"""WITH d AS (SELECT doc_id, {_cut('coalesce(title, text)', 80)} AS title, list_sort(list_distinct(regexp_extract_all(text, '(19[5-9][0-9]|20[0-2][0-9]|203[0-5])', 1))) AS y, length(regexp_replace(lower(substr(text, 1, 5000)), '[^а-яё]', '', 'g')) AS ru, length(regexp_replace(lower(substr(text, 1, 5000)), '[^a-z]', '', 'g')) AS en, text FROM documents)
-        SELECT doc_id, title, coalesce(y[-1], '') AS last_year, len(y)::BIGINT AS years, CASE WHEN text IS NULL OR greatest(ru, en) = 0 THEN 'unknown' WHEN least(ru, en) / greatest(ru, en) > 0.2 THEN 'mixed' WHEN ru > en THEN 'ru' ELSE 'en' END AS language FROM d""",
-    "d4_json": r"""WITH e AS (SELECT event_id, 'answer: ' || props || CASE WHEN event_id % 7 = 0 THEN '}' ELSE ' end' END AS s FROM events) SELECT event_id, coalesce(json_valid(nullif(regexp_extract(s, '(\{[^{}]*\})', 1), '')), false) AS ok FROM e""",
-    "d6_counts": " UNION ALL ".join(f"SELECT '{f}' AS family, kind, count(*) AS n FROM {f} JOIN (SELECT publication_id, max(document_kind) AS kind FROM publications GROUP BY ALL) k USING (publication_id) GROUP BY ALL" for f in ("publication_authors", "procedure_summaries")),
+    "d1_bundle": rf"""WITH d AS (SELECT doc_id, text, lower(text) AS l, nullif({_COLLAPSE.format(x='title')}, '') IS NOT NULL AS real, title, section_kind, list_sort(list_distinct(regexp_extract_all(text, '(19[5-9][0-9]|20[0-2][0-9]|203[0-5])', 1))) AS y, length(regexp_replace(lower(text), '[^а-яё]', '', 'g')) AS ru, length(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS en FROM documents),
+        e AS (SELECT *, CASE WHEN real THEN title ELSE text END AS x FROM d)
+        SELECT doc_id, {_cut('x', 80)} AS title, CASE WHEN real THEN 'title' ELSE 'text' END AS evidence, (CASE WHEN real THEN 550000 ELSE 350000 END)::BIGINT AS confidence, coalesce(y[-1], '') AS last_year, coalesce(len(y), -1)::BIGINT AS years, coalesce(regexp_replace(regexp_extract(l, '(10\.[0-9]{{4,9}}/[^\s"<>]+)', 1), '[.,;)]+$', ''), '') AS doi,
+        coalesce(regexp_extract(l, '([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,}})', 1), '') AS email, CASE WHEN contains(section_kind, 'table') THEN 'table' WHEN length(text) < 200 THEN 'note' ELSE 'text' END AS kind,
+        CASE WHEN text IS NULL OR greatest(ru, en) = 0 THEN 'unknown' WHEN least(ru, en) / greatest(ru, en) > 0.2 THEN 'mixed' WHEN ru > en THEN 'ru' ELSE 'en' END AS language FROM e""",
+    "d4_json": r"""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'answer: ' || props || '}' WHEN 1 THEN 'Here is it:' || chr(10) || '```json' || chr(10) || '{"outer": ' || props || '}' || chr(10) || '```' || chr(10) WHEN 2 THEN 'I cannot help with that.' ELSE 'answer: ' || props || ' end' END AS s FROM events),
+        b AS (SELECT event_id, s, nullif(regexp_extract(regexp_replace(s, '```(?:json)?', ' ', 'g'), '(?s)(\{.*\})', 1), '') AS j FROM e)
+        SELECT event_id, CASE WHEN coalesce(json_valid(j), false) THEN 'ok' WHEN contains(s, 'cannot help') THEN 'refused' ELSE 'parse_failed' END AS status, (CASE WHEN coalesce(json_valid(j), false) THEN length(j) ELSE 0 END)::BIGINT AS chars FROM b""",
+    "d6_counts": f"SELECT 'venues' AS family, document_kind AS kind, count(DISTINCT {norm('venue_name')}) AS n FROM publications WHERE venue_name IS NOT NULL GROUP BY ALL UNION ALL " + " UNION ALL ".join(f"SELECT '{f}' AS family, kind, count(*) AS n FROM {f} JOIN (SELECT doc_id, max(document_kind) AS kind FROM publications GROUP BY ALL) k USING (doc_id) GROUP BY ALL" for f in ("publications", "publication_authors", "procedure_summaries", "retrieval_results", "parsed_tables")),
     "d13_verdicts": "WITH g AS (SELECT DISTINCT procedure_summary_id, least(5, greatest(1, ceil(confidence * 5)))::BIGINT AS grade FROM procedure_summaries) SELECT *, CASE WHEN grade >= 4 THEN 'good' WHEN grade = 3 THEN 'usable' ELSE 'weak' END AS verdict FROM g",
     "g3_bundles": f"""WITH {_M}, e AS (SELECT 'experiment_' || seq AS source_id, node_id AS target_id, CASE WHEN type = 'material' THEN 'uses_material' ELSE 'operates_at' END AS type, count(*) AS mentions FROM i GROUP BY ALL) SELECT source_id, type, count(*) AS edges, sum(mentions)::BIGINT AS mentions FROM e GROUP BY ALL""",
-    "v3_manifest": "SELECT count(*) AS count, max(len(embedding))::BIGINT AS dimension, bit_xor(('0x' || substr(sha1(vec_id::VARCHAR), 1, 12))::BIGINT) AS digest FROM embeddings",
+    "v3_manifest": """WITH r AS (SELECT *, coalesce(chunk_id, '') <> '' AND coalesce(doc_id, '') <> '' AND coalesce(text, '') <> '' AS f FROM retrieval_results)
+        SELECT count(*) FILTER (WHERE f) AS count, count(*) FILTER (WHERE NOT f) AS left_out, count(DISTINCT chunk_id) FILTER (WHERE f) AS chunks, bit_xor(('0x' || substr(sha1(concat_ws('|', result_id::VARCHAR, chunk_id, doc_id, text)), 1, 12))::BIGINT) FILTER (WHERE f) AS digest FROM r""",
 }

@@ -62,37 +62,21 @@ def g7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("node_id", "type", "label", score.cast("bigint").alias("score")).where("score > 0").orderBy(F.desc("score"), "node_id").limit(30)
 
 
-def _geo(spark: SparkSession, sf_dir: str, segments: str = "c_mktsegment = 'MACHINERY'") -> DataFrame:
-    """Typed edges of nations, regions, suppliers and the customers that meet ``segments``."""
+def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed edges of nations, regions, suppliers and customers."""
     n, s, c = (table(spark, sf_dir, t) for t in ("nation", "supplier", "customer"))
     key = lambda k, x: F.concat(F.lit(k), F.col(x).cast("string"))
     e = [
         n.select(key("n", "n_nationkey").alias("source_id"), key("r", "n_regionkey").alias("target_id"), F.lit("in_region").alias("type")),
         s.select(key("s", "s_suppkey"), key("n", "s_nationkey"), F.lit("supplies_from")),
-        c.where(segments).select(key("c", "c_custkey"), key("n", "c_nationkey"), F.lit("buys_in")),
+        c.select(key("c", "c_custkey"), key("n", "c_nationkey"), F.lit("buys_in")),
     ]
     return e[0].union(e[1]).union(e[2])
 
 
-def g8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = spark.createDataFrame([("n3",), ("r1",), ("none",)], "node_id string")
-    return G.neighbours(_geo(spark, sf_dir), start)
-
-
-def g8_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.degrees(_geo(spark, sf_dir))
-
-
-def g9_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simple paths of up to three edges from two suppliers to regions and other nations."""
-    start = spark.createDataFrame([("s1",), ("s2",)], "node_id string")
-    p = G.paths(_geo(spark, sf_dir), start, 3)
-    return p.where(F.col("end_id").rlike("^[nr]")).select("start_id", "end_id", G.render(F.col("path"), F.col("types")).alias("path"), F.col("depth").cast("bigint").alias("depth"))
-
-
 def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every edge: all customers, and the publications' entities."""
-    return _geo(spark, sf_dir, "true").unionByName(g6_edges(spark, sf_dir).select("source_id", "target_id", "type"))
+    return _geo(spark, sf_dir).unionByName(g6_edges(spark, sf_dir).select("source_id", "target_id", "type"))
 
 
 def _hundredth(edges: DataFrame) -> DataFrame:
@@ -101,18 +85,18 @@ def _hundredth(edges: DataFrame) -> DataFrame:
     return nodes.where(F.col("node_id").rlike("^[nrsc](0|[0-9]*00)$"))
 
 
-def g8_all_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+def g8_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degrees(_whole(spark, sf_dir))
 
 
-def g8_all_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+def g8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _whole(spark, sf_dir)
     return G.neighbours(e, _hundredth(e))
 
 
-def g9_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def g9_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple paths of up to three edges from every hundredth node, with all customers."""
-    e = _geo(spark, sf_dir, "true")
+    e = _geo(spark, sf_dir)
     p = G.paths(e, _hundredth(e), 3)
     return p.select("start_id", "end_id", G.render(F.col("path"), F.col("types")).alias("path"), F.col("depth").cast("bigint").alias("depth"))
 
@@ -125,15 +109,15 @@ def g11_mini_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("r <= 6").select("source_id", "target_id", "type", "mentions")
 
 
-QUERIES = {f.__name__: f for f in (g1_authored, g2_nodes, g4_table_nodes, g5_tags, g6_edges, g7_entities, g8_neighbours, g8_degrees, g9_paths, g8_all_degrees, g8_all_neighbours, g9_all_paths, g11_mini_graph)}
+QUERIES = {f.__name__: f for f in (g1_authored, g2_nodes, g4_table_nodes, g5_tags, g6_edges, g7_entities, g8_degrees, g8_neighbours, g9_paths, g11_mini_graph)}
 
 _P = "p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY procedure_summary_id) AS k FROM procedure_summaries) WHERE k = 1)"
 _M = f"""{_P}, m AS (SELECT publication_id, procedure_summary_id AS seq, 'material' AS type, unnest(materials) AS label FROM p UNION ALL SELECT publication_id, procedure_summary_id, 'process', unnest(processes) FROM p UNION ALL SELECT publication_id, procedure_summary_id, 'equipment', unnest(equipment) FROM p),
     i AS (SELECT *, type || '_' || substr(sha1({norm('label')}), 1, 16) AS node_id FROM m WHERE label <> '')"""
 _E = f"""{_M}, e AS (SELECT 'edge_' || substr(sha1(publication_id || '|uses_' || type || '|' || node_id), 1, 20) AS edge_id, publication_id AS source_id, node_id AS target_id, 'uses_' || type AS type, count(*) AS mentions FROM i WHERE publication_id IN (SELECT publication_id FROM publications) GROUP BY ALL)"""
-_GEO = """e AS (SELECT 'n' || n_nationkey AS source_id, 'r' || n_regionkey AS target_id, 'in_region' AS type FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'supplies_from' FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'buys_in' FROM customer WHERE c_mktsegment = 'MACHINERY'),
+_GEO = """e AS (SELECT 'n' || n_nationkey AS source_id, 'r' || n_regionkey AS target_id, 'in_region' AS type FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'supplies_from' FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'buys_in' FROM customer),
     b AS (SELECT source_id AS a, target_id AS b, type FROM e UNION ALL SELECT target_id, source_id, 'reverse:' || type FROM e)"""
-_ALL = _GEO.replace(" WHERE c_mktsegment = 'MACHINERY'", "").replace("e AS (", "geo AS (", 1).split("),\n")[0] + ")"
+_ALL = _GEO.replace("e AS (", "geo AS (", 1).split("),\n")[0] + ")"
 _BOTH = "b AS (SELECT source_id AS a, target_id AS b, type FROM {x} UNION ALL SELECT target_id, source_id, 'reverse:' || type FROM {x})"
 _WHOLE = f"{_E}, {_ALL}, x AS (SELECT * FROM geo UNION ALL SELECT source_id, target_id, type FROM e), {_BOTH.format(x='x')}"
 _NODES = "n AS (SELECT node_id, type, arg_min(label, {seq: seq, label: label}) AS label, count(*) AS mentions FROM i GROUP BY ALL)"
@@ -146,13 +130,9 @@ SQL = {
     "g6_edges": f"WITH {_E} SELECT * FROM e",
     "g7_entities": f"""WITH {_M}, {_NODES}, s AS (SELECT node_id, type, label, (len(list_filter(['flotation', 'cell', 'печь', 'furnace'], lambda t: contains({norm('label')}, t))) + CASE WHEN {norm('label')} IN ('flotation', 'cell', 'печь', 'furnace') THEN 1 ELSE 0 END)::BIGINT AS score FROM n)
         SELECT * FROM s WHERE score > 0 ORDER BY score DESC, node_id LIMIT 30""",
-    "g8_neighbours": f"WITH {_GEO} SELECT a AS node_id, type, b AS other FROM b WHERE a IN ('n3', 'r1', 'none')",
-    "g8_degrees": f"WITH {_GEO} SELECT a AS node_id, count(*) AS degree, count(DISTINCT b) AS neighbours FROM b GROUP BY ALL",
-    "g9_paths": f"""WITH RECURSIVE {_GEO}, w AS (SELECT x AS start_id, x AS end_id, [x] AS nodes, x AS path, 0 AS depth FROM (VALUES ('s1'), ('s2')) v(x)
-        UNION ALL SELECT start_id, b.b, list_append(nodes, b.b), path || ' -[' || b.type || ']-> ' || b.b, depth + 1 FROM w JOIN b ON w.end_id = b.a WHERE depth < 3 AND NOT list_contains(nodes, b.b)) SELECT start_id, end_id, path, depth::BIGINT AS depth FROM w WHERE depth > 0 AND (end_id LIKE 'n%' OR end_id LIKE 'r%')""",
-    "g8_all_degrees": f"WITH {_WHOLE} SELECT a AS node_id, count(*) AS degree, count(DISTINCT b) AS neighbours FROM b GROUP BY ALL",
-    "g8_all_neighbours": f"WITH {_WHOLE} SELECT a AS node_id, type, b AS other FROM b WHERE regexp_matches(a, '^[nrsc](0|[0-9]*00)$')",
-    "g9_all_paths": f"""WITH RECURSIVE {_ALL}, {_BOTH.format(x='geo')}, w AS (SELECT DISTINCT a AS start_id, a AS end_id, [a] AS nodes, a AS path, 0 AS depth FROM b WHERE regexp_matches(a, '^[nrsc](0|[0-9]*00)$')
+    "g8_degrees": f"WITH {_WHOLE} SELECT a AS node_id, count(*) AS degree, count(DISTINCT b) AS neighbours FROM b GROUP BY ALL",
+    "g8_neighbours": f"WITH {_WHOLE} SELECT a AS node_id, type, b AS other FROM b WHERE regexp_matches(a, '^[nrsc](0|[0-9]*00)$')",
+    "g9_paths": f"""WITH RECURSIVE {_ALL}, {_BOTH.format(x='geo')}, w AS (SELECT DISTINCT a AS start_id, a AS end_id, [a] AS nodes, a AS path, 0 AS depth FROM b WHERE regexp_matches(a, '^[nrsc](0|[0-9]*00)$')
         UNION ALL SELECT start_id, b.b, list_append(nodes, b.b), path || ' -[' || b.type || ']-> ' || b.b, depth + 1 FROM w JOIN b ON w.end_id = b.a WHERE depth < 3 AND NOT list_contains(nodes, b.b)) SELECT start_id, end_id, path, depth::BIGINT AS depth FROM w WHERE depth > 0""",
     "g11_mini_graph": f"""WITH {_E}, t AS (SELECT target_id FROM e GROUP BY ALL ORDER BY count(*) DESC, target_id LIMIT 20), r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY mentions DESC, source_id) AS r FROM e WHERE target_id IN (SELECT target_id FROM t))
         SELECT source_id, target_id, type, mentions FROM r WHERE r <= 6""",

@@ -69,15 +69,39 @@ def s24_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "open_access_results").where("title is not null").select("oa_id", T.collapse(t).alias("title"))
 
 
-def s25_url_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a landing page may be fetched: https, no user part, no private host."""
-    u = F.col("landing_page_url")
-    host = F.lower(F.regexp_extract(u, r"^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)", 1))
-    why = (
-        F.when(u.isNull(), "missing").when(~F.lower(u).startswith("https://"), "not_https").when(u.rlike(r"^[a-zA-Z]+://[^/]*@"), "user_part")
-        .when(host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)"), "private").otherwise("ok")
+# Ranges of addresses that aren't public, and what addresses in them begin with.
+PRIVATE = r"^(localhost$|.*\.localhost$|0\.|127\.|10\.|192\.168\.|192\.0\.[02]\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|169\.254\.|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|172\.(1[6-9]|2[0-9]|3[01])\.|22[4-9]\.|2[3-5][0-9]\.)"
+PRIVATE_6 = r"^\[(::|::1|::ffff:.*|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|2001:db8:.*)\]$"
+ODD_NUMBER = r"^(0x[0-9a-f]+|[0-9]+|[0-9.]*0x[0-9a-fx.]*|0[0-7]+\..*)$"
+
+
+def url_gate(u: F.Column) -> F.Column:
+    """Whether a page may be fetched: https, no user part, no private, loopback, link-local, multicast or reserved address in any notation.
+
+    A redirect's target is another URL and goes through the same gate.
+    """
+    host = url_host(u)
+    return (
+        F.when(u.isNull() | (F.trim(u) == ""), "missing").when(~F.lower(u).startswith("https://"), "not_https").when(u.rlike(r"^[a-zA-Z]+://[^/?#]*@"), "user_part")
+        .when(host == "", "no_host").when(host.rlike(PRIVATE) | host.rlike(PRIVATE_6) | host.rlike(ODD_NUMBER), "private").otherwise("ok")
     )
-    return table(spark, sf_dir, "open_access_results").select("oa_id", why.alias("gate"), F.coalesce(host, F.lit("")).alias("host"))
+
+
+def url_host(u: F.Column) -> F.Column:
+    """Host in lower case, an IPv6 address in its brackets; a final dot doesn't count."""
+    return F.regexp_replace(F.lower(F.regexp_extract(u, r"^[a-zA-Z]+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1)), r"\.$", "")
+
+
+def s25_url_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over every landing page and every link to a PDF, and over addresses built into each page's link in the notations that are no public host."""
+    o = table(spark, sf_dir, "open_access_results").select("oa_id", "landing_page_url", "best_pdf_url", F.coalesce("oa_id", F.lit("")).alias("x"))
+    odd = [F.concat(F.lit(f"https://{h}/"), "x").alias("u") for h in ODD_HOSTS]
+    urls = F.array(F.col("landing_page_url"), F.col("best_pdf_url"), *odd)
+    e = o.select("oa_id", F.posexplode(urls).alias("p", "u"))
+    return e.select("oa_id", F.col("p").cast("bigint").alias("link"), url_gate(F.col("u")).alias("gate"), F.coalesce(url_host(F.col("u")), F.lit("")).alias("host"))
+
+
+ODD_HOSTS = ("[::1]", "0.0.0.0", "224.0.0.1", "[fe80::1]", "2130706433", "100.64.1.1", "example.org.", "user@example.org")
 
 
 def s27_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +111,14 @@ def s27_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("oa_id", doi.alias("doi"), F.expr("try_cast(regexp_extract(year, '((19|20)[0-9]{2})', 1) as bigint)").alias("year"), F.coalesce(F.nullif("best_pdf_url", F.lit("")), "landing_page_url", F.concat(F.lit("doi:"), doi), F.lit("")).alias("link"))
 
 
+# Names that file systems keep for devices.
+RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"{d}{k}" for d in ("COM", "LPT") for k in range(1, 10)))
+
+
 def s30_safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names without characters that file systems refuse."""
     x = F.regexp_replace(F.regexp_replace(F.coalesce("title", "file_name"), r'[<>:"/\\|?*\x00-\x1f]', "_"), r"[ .]+$", "")
-    return table(spark, sf_dir, "publications").select("publication_id", F.substring(F.when(F.upper(x).isin("CON", "PRN", "AUX", "NUL", ""), F.concat(F.lit("_"), x)).otherwise(x), 1, 180).alias("name")).distinct()
+    return table(spark, sf_dir, "publications").select("publication_id", F.substring(F.when(F.upper(F.regexp_extract(x, r"^([^.]*)", 1)).isin(*RESERVED, ""), F.concat(F.lit("_"), x)).otherwise(x), 1, 180).alias("name")).distinct()
 
 
 def s31_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,10 +184,12 @@ SQL = {
     "s23_upsert": "WITH p AS (SELECT publication_id, confidence, extracted_at, count(*) OVER (PARTITION BY publication_id) AS n, max(extracted_at) OVER (PARTITION BY publication_id) AS last FROM publications) SELECT publication_id, confidence, extracted_at FROM p WHERE n = 1 OR extracted_at = last",
     "s24_markup": r"""WITH t AS (SELECT oa_id, replace(replace(replace(replace(replace(title, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' ') AS t FROM open_access_results WHERE title IS NOT NULL), u AS (SELECT oa_id, regexp_replace(regexp_replace(t, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM t)
         SELECT oa_id, regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^ | $', '', 'g') AS title FROM u""",
-    "s25_url_gate": rf"""SELECT oa_id, CASE WHEN landing_page_url IS NULL THEN 'missing' WHEN NOT starts_with(lower(landing_page_url), 'https://') THEN 'not_https' WHEN regexp_matches(landing_page_url, '^[a-zA-Z]+://[^/]*@') THEN 'user_part'
-        WHEN regexp_matches({_HOST}, '^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)') THEN 'private' ELSE 'ok' END AS gate, coalesce({_HOST}, '') AS host FROM open_access_results""",
+    "s25_url_gate": rf"""WITH a AS (SELECT oa_id, [landing_page_url, best_pdf_url, {', '.join(f"'https://{h}/' || coalesce(oa_id, '')" for h in ODD_HOSTS)}] AS l FROM open_access_results), e AS (SELECT oa_id, unnest(l) AS u, generate_subscripts(l, 1) - 1 AS link FROM a),
+        h AS (SELECT oa_id, link, u, regexp_replace(lower(regexp_extract(u, '^[a-zA-Z]+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)', 1)), '\.$', '') AS host FROM e)
+        SELECT oa_id, link::BIGINT AS link, CASE WHEN u IS NULL OR trim(u) = '' THEN 'missing' WHEN NOT starts_with(lower(u), 'https://') THEN 'not_https' WHEN regexp_matches(u, '^[a-zA-Z]+://[^/?#]*@') THEN 'user_part' WHEN host = '' THEN 'no_host'
+        WHEN regexp_matches(host, '{PRIVATE}') OR regexp_matches(host, '{PRIVATE_6}') OR regexp_matches(host, '{ODD_NUMBER}') THEN 'private' ELSE 'ok' END AS gate, coalesce(host, '') AS host FROM h""",
     "s27_normalised": f"SELECT oa_id, {_DOI} AS doi, try_cast(regexp_extract(year, '((19|20)[0-9]{{2}})', 1) AS BIGINT) AS year, coalesce(nullif(best_pdf_url, ''), landing_page_url, 'doi:' || {_DOI}, '') AS link FROM open_access_results",
-    "s30_safe_names": f"SELECT DISTINCT publication_id, substr(CASE WHEN upper({_NAME}) IN ('CON', 'PRN', 'AUX', 'NUL', '') THEN '_' || {_NAME} ELSE {_NAME} END, 1, 180) AS name FROM publications",
+    "s30_safe_names": f"SELECT DISTINCT publication_id, substr(CASE WHEN upper(regexp_extract({_NAME}, '^([^.]*)', 1)) IN ({', '.join(f"'{x}'" for x in RESERVED)}, '') THEN '_' || {_NAME} ELSE {_NAME} END, 1, 180) AS name FROM publications",
     "s31_portable": r"SELECT table_id, regexp_replace(replace(local_path, '\', '/'), '^.*?data/raw/', '') AS path FROM parsed_tables",
     "q9_links": "WITH p AS (SELECT DISTINCT publication_id, doi FROM publications WHERE doi IS NOT NULL) SELECT publication_id, provider, u || replace(doi, '/', '%2F') AS url FROM p, (VALUES ('resolver', 'https://doi.example/'), ('index', 'https://index.example/?q='), ('archive', 'https://archive.example/s/')) v(provider, u)",
     "q15_redacted": r"SELECT DISTINCT author_id, regexp_replace(regexp_replace(concat_ws(' ', raw_name, email, orcid), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[address]', 'g'), '[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]', '[id]', 'g') AS line FROM publication_authors WHERE email IS NOT NULL OR orcid IS NOT NULL",

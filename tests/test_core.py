@@ -27,12 +27,21 @@ def test_text(spark):
     assert one(spark, lambda x: T.has_term(x, "ni"), "nickel") is False
 
 
-def test_windows_always_advance():
-    hazard = "a" * 350 + "\n" + "b" * 5000
-    got = chunking.cut_windows(hazard)
-    assert len(got) < 100 and all(len(x) <= 3500 for x in got)
-    assert chunking.cut_windows("x" * 299) == [] and chunking.cut_windows("x" * 300) == ["x" * 300]
-    assert chunking.cut_windows(" \n \n") == []
+def windows(spark, text, **how):
+    df = spark.createDataFrame([(1, text, "q")], "i int, t string, chunk string")
+    return [r["chunk"] for r in chunking.window_chunks(df, "i", "t", **how).orderBy("chunk_index").collect()]
+
+
+def test_windows_always_advance(spark):
+    got = windows(spark, "a" * 350 + "\n" + "b" * 5000)
+    assert len(got) < 100 and all(len(x) <= 3500 for x in got) and got[-1].endswith("b")
+    assert windows(spark, "x" * 299) == [] and windows(spark, "x" * 300) == ["x" * 300]
+    assert windows(spark, " \n \n") == [] and windows(spark, None) == [] and windows(spark, "") == []
+
+
+def test_windows_end_at_boundaries(spark):
+    got = windows(spark, "  aaaa. bbbb\n\n cccc. dddd ", target=12, overlap=2, least=3)
+    assert got == ["aaaa. bbbb", "b\ncccc. dddd"]
 
 
 def test_fixed_chunks(spark):

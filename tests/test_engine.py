@@ -36,6 +36,21 @@ def test_provider_errors_are_rows(spark):
     assert got[1] == ([1.0, 2.0], None) and got[2][0] is None and "no" in got[2][1] and got[3][0] == [1.0, 2.0]
 
 
-def test_hash_vectors():
-    v = embedding.hash_vector("nickel ore", 64)
-    assert abs(sum(x * x for x in v) - 1) < 1e-9 and embedding.hash_vector("", 8) == [0.0] * 8
+def test_hash_vectors(spark):
+    """By hand: blake2b-64 read as a little-endian number, its remainder is the place, its top bit means minus."""
+    import hashlib
+    import math
+
+    def by_hand(text, dim):
+        v = [0.0] * dim
+        for w in text.split():
+            for x, weight in [(w, 1.0), *(((w[i : i + 3], 0.35) for i in range(len(w) - 2)) if len(w) >= 5 else ())]:
+                d = hashlib.blake2b(x.encode(), digest_size=8).digest()
+                n = sum(byte << (8 * i) for i, byte in enumerate(d))
+                v[n % dim] += (-1 if d[7] >= 128 else 1) * weight * math.log1p(len(x))
+        return [x / math.hypot(*v) for x in v]
+
+    df = spark.createDataFrame([(1, "nickel ore nickel", "q"), (2, "", "q"), (3, None, "q")], "i int, t string, embedding string")
+    got = {r["i"]: r["embedding"] for r in embedding.hashed(df, "i", "t", 64).collect()}
+    assert max(abs(a - b) for a, b in zip(got[1], by_hand("nickel ore nickel", 64))) < 1e-12
+    assert got[2] == got[3] == [0.0] * 64
