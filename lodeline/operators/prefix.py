@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 
 def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
-    """Running sum of ``value`` in the order of ``bucket`` (rising with the order), then ``order``, within ``group``.
+    """Running sum of ``value`` in the order of ``bucket`` (rising with the order), then ``order``, within ``group``."""
+    return running_sums(df, group, bucket, order, {out: value})
+
+
+def running_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column], values: dict[str, str]) -> DataFrame:
+    """Running sums (new column: summed column) in one order, with one shuffle for all of them.
 
     Sums of the buckets are added up first, so a task holds one bucket only; the caller chooses buckets of
     bounded size. Null values add nothing.
     """
-    sums = df.groupBy(*group, bucket).agg(F.sum(value).alias("__n"))
+    sums = df.groupBy(*group, bucket).agg(*(F.sum(v).alias(f"__n_{out}") for out, v in values.items()))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*group, bucket, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    starts = sums.select(*group, bucket, *(F.coalesce(F.sum(f"__n_{out}").over(before), F.lit(0)).alias(f"__start_{out}") for out in values))
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.join(starts, [*group, bucket]).withColumn(out, F.col("__start") + F.sum(value).over(inside)).drop("__start")
+    run = df.join(starts, [*group, bucket])
+    return run.withColumns({out: F.col(f"__start_{out}") + F.sum(v).over(inside) for out, v in values.items()}).drop(*(f"__start_{out}" for out in values))

@@ -6,18 +6,19 @@ settled by the id; k <= 0 gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as T
-from lodeline.runtime import col
+from lodeline.runtime import col, spread
 
 K1, B = 1.2, 0.75
-BLOCK = 4096  # vectors of one block of a matrix product
+QUERY_NUMBERS = 4_000_000  # numbers of the queries that go to every task, and of one block of a matrix product
 
 
 def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -30,22 +31,33 @@ def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
+def query_terms(spark: SparkSession, query: str, most: int = 16) -> list[str]:
+    """Distinct words of a query in its order."""
+    return spark.range(1).select(F.slice(F.array_distinct(T.words(F.lit(query))), 1, most).alias("t")).first()["t"]
+
+
+def idf(docs: float, df: float) -> float:
+    """Weight of a word in ``df`` of ``docs`` texts; one in more than half of them keeps a trace."""
+    x = math.log((docs - df + 0.5) / (df + 0.5))
+    return x if x > 0 else 1e-6
+
+
 def bm25(df: DataFrame, id_col: str, text_col: str, query: str, k: int, most_terms: int = 16) -> DataFrame:
-    """(row_id, score) of the best k rows. Counts are summed up before the shuffle, so one row for each text is moved, and both uses of it share that shuffle."""
-    terms = df.sparkSession.range(1).select(F.slice(F.array_distinct(T.words(F.lit(query))), 1, most_terms).alias("t")).first()["t"]
+    """(row_id, score) of the best k rows without an index: words are counted within each row, so nothing but the figures of the corpus and the best rows is moved.
+
+    ``operators.index`` answers the same from stored postings.
+    """
+    terms = query_terms(df.sparkSession, query, most_terms)
     if not terms or k <= 0:
         return df.select(col(id_col).alias("row_id"), F.lit(0.0).alias("score")).limit(0)
-    words = df.select(col(id_col).alias("row_id"), F.explode(T.words(col(text_col))).alias("w"))
-    tf = words.groupBy("row_id").agg(F.count("*").alias("n"), *(F.count_if(F.col("w") == t).alias(f"t{i}") for i, t in enumerate(terms)))
-    stats = tf.agg(F.count("*").cast("double").alias("docs"), F.avg(F.col("n").cast("double")).alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).cast("double").alias(f"d{i}") for i in range(len(terms))))
-    hits = tf.crossJoin(F.broadcast(stats))  # one row of statistics
-    part = []
-    for i in range(len(terms)):
-        idf = F.log((F.col("docs") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
-        f = F.col(f"t{i}").cast("double")
-        part.append(F.when(f > 0, F.when(idf <= 0, 1e-6).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / F.col("mean")))).otherwise(0.0))
-    best = hits.select("row_id", sum(part, F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "row_id").limit(k)
-    return best.where("score > 0")
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" "))
+    words = T.once(T.words(col(text_col)), lambda w: F.struct(F.size(w).alias("n"), spaced(w).alias("s")))
+    counted = df.where(col(text_col).isNotNull()).select(col(id_col).alias("row_id"), words.alias("w")).where("w.n > 0")
+    tf = counted.select("row_id", F.col("w.n").alias("n"), *(((F.length("w.s") - F.length(F.replace("w.s", F.lit(f" {t} "), F.lit("")))) / (len(t) + 2)).alias(f"t{i}") for i, t in enumerate(terms)))
+    f = tf.agg(F.count("*").cast("double").alias("docs"), F.avg(F.col("n").cast("double")).alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms)))).first()
+    part = [F.when(F.col(f"t{i}") > 0, F.lit(idf(f["docs"], f[f"d{i}"])) * F.col(f"t{i}") * (K1 + 1) / (F.col(f"t{i}") + K1 * (1 - B + B * F.col("n") / F.lit(f["mean"] or 1.0)))).otherwise(0.0) for i in range(len(terms))]
+    some = tf.where(sum((F.col(f"t{i}") for i in range(len(terms))), F.lit(0.0)) > 0)
+    return some.select("row_id", sum(part, F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "row_id").limit(k)
 
 
 def unit(vector: str) -> F.Column:
@@ -54,41 +66,81 @@ def unit(vector: str) -> F.Column:
     return F.when(n > 0, F.transform(F.col(vector), lambda x: x.cast("double") / n)).otherwise(F.transform(F.col(vector), lambda x: x.cast("double")))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, most_numbers: int = QUERY_NUMBERS) -> DataFrame:
     """(query_id, row_id, score, rank): the k rows of highest dot product for each query, exactly.
 
-    Rows and queries are hashed into blocks; each pair of blocks is one matrix product that keeps its best k
-    for each query, and a window merges them. No pair of single rows is ever a row of a plan.
+    Queries of up to ``most_numbers`` numbers in all go to every task as one matrix, and the rows are scanned
+    once where they lie; more are hashed into blocks of that size, and each is joined with blocks of rows. In
+    both cases a product of matrices keeps its best k for each query and a window merges those; no pair of single
+    rows is ever a row of a plan. Vectors of another length than the queries' are left out.
     """
     base = vectors.select(col(id_col).alias("row_id"), col(vector_col).alias("v")).where("v is not null")
     ask = queries.select(col(id_col).alias("query_id"), col(vector_col).alias("v")).where("v is not null")
     kinds = base.schema["row_id"].dataType.simpleString(), ask.schema["query_id"].dataType.simpleString()
-
-    def blocks(df: DataFrame, key: str) -> DataFrame:
-        n = max(1, -(-df.count() // BLOCK))
-        return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{key}_b")).agg(F.collect_list(F.struct(key, "v")).alias(f"{key}_l"))
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                rows, asks = b["row_id_l"][r].as_py(), b["query_id_l"][r].as_py()
-                m, q = np.array([x["v"] for x in rows], np.float64), np.array([x["v"] for x in asks], np.float64)
-                ids = np.array([x["row_id"] for x in rows])
-                s = q @ m.T
-                qs, rs, ss = [], [], []
-                for i, x in enumerate(asks):
-                    best = np.lexsort((ids, -s[i]))[:k]
-                    qs += [x["query_id"]] * len(best)
-                    rs += ids[best].tolist()
-                    ss += s[i][best].tolist()
-                kind = lambda c, f: b[c].type.value_type.field(f).type
-                yield pa.record_batch([pa.array(qs, kind("query_id_l", "query_id")), pa.array(rs, kind("row_id_l", "row_id")), pa.array(ss, pa.float64())], ["query_id", "row_id", "score"])
-
-    grid = blocks(base, "row_id").crossJoin(blocks(ask, "query_id")).select("row_id_l", "query_id_l")  # pairs of blocks
-    part = grid.mapInArrow(product, f"query_id {kinds[1]}, row_id {kinds[0]}, score double")
+    sizes = ask.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    dim = sizes["dim"] or 0
+    base, ask = base.where(F.size("v") == dim), ask.where(F.size("v") == dim)
+    out = f"query_id {kinds[1]}, row_id {kinds[0]}, score double"
+    if not sizes["n"] or not dim:
+        return base.sparkSession.createDataFrame([], f"{out}, rank int")
+    if sizes["n"] * dim <= most_numbers:
+        asked = ask.toArrow()  # at most ``most_numbers`` numbers
+        ids, matrix = asked["query_id"].combine_chunks(), _matrix(asked["v"].combine_chunks(), dim)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(len(ids), k)
+            for b in batches:
+                best.add(matrix @ _matrix(b["v"], dim).T, b["row_id"])
+            yield from best.rows(ids)
+
+        part = spread(base).mapInArrow(scan, out)
+    else:
+
+        def blocks(df: DataFrame, key: str, n: int) -> DataFrame:
+            return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{key}_b")).agg(F.collect_list(key).alias(key), F.flatten(F.collect_list("v")).alias(f"{key}_v"), F.count("*").alias(f"{key}_n"))
+
+        def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in range(b.num_rows):
+                    rows, asks = b["row_id"][r].values, b["query_id"][r].values
+                    best = _Best(len(asks), k)
+                    m, q = (b[c][r].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) for c in ("row_id_v", "query_id_v"))
+                    best.add(q @ m.T, rows)
+                    yield from best.rows(asks)
+
+        of = lambda n: max(1, -(-n * dim // most_numbers))
+        grid = blocks(base, "row_id", of(base.count())).crossJoin(blocks(ask, "query_id", of(sizes["n"])))  # pairs of blocks
+        part = grid.select("row_id", "row_id_v", "query_id", "query_id_v").mapInArrow(product, out)
     return part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))).where(F.col("rank") <= k)
 
 
+def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    """Arrow lists of one length as rows, without going through Python numbers."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+class _Best:
+    """Best k rows of every query so far; of equal scores the lower id stays."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.score, self.ids = k, np.full((queries, 0), -np.inf), None
+
+    def add(self, score: np.ndarray, ids: pa.Array) -> None:
+        if not len(ids) or not score.size:
+            return
+        new = np.broadcast_to(ids.to_numpy(zero_copy_only=False), score.shape)
+        self.score = np.concatenate([self.score, score], axis=1)
+        self.ids = new if self.ids is None else np.concatenate([self.ids, new], axis=1)
+        order = np.lexsort((self.ids, -self.score), axis=1)[:, : self.k]
+        self.score, self.ids = np.take_along_axis(self.score, order, axis=1), np.take_along_axis(self.ids, order, axis=1)
+        self.kind = ids.type
+
+    def rows(self, queries: pa.Array) -> Iterator[pa.RecordBatch]:
+        if self.ids is not None:
+            n = self.score.shape[1]
+            yield pa.record_batch([queries.take(pa.array(np.repeat(np.arange(len(queries)), n))), pa.array(self.ids.ravel().tolist(), self.kind), pa.array(self.score.ravel())], ["query_id", "row_id", "score"])
+
+
 def nearest_one(vectors: DataFrame, id_col: str, vector_col: str, query: list[float], k: int) -> DataFrame:
     """(row_id, score) for one query vector, in the JVM; the partial best k of every partition are merged."""
     q = F.array(*(F.lit(float(x)) for x in query))

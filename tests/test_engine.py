@@ -54,3 +54,38 @@ def test_hash_vectors(spark):
     got = {r["i"]: r["embedding"] for r in embedding.hashed(df, "i", "t", 64).collect()}
     assert max(abs(a - b) for a, b in zip(got[1], by_hand("nickel ore nickel", 64))) < 1e-12
     assert got[2] == got[3] == [0.0] * 64
+
+
+def test_indexes_modes_and_reasons(spark, sf_dir, tmp_path):
+    import pytest
+
+    from lodeline.operators import index
+
+    e = Engine(spark, sf_dir, k=5, indexes=str(tmp_path / "i"), dimension=64)
+    query = 'effect of "grain size" on nickel flotation in 2010'
+    _, notes = e.gather(query, ("raw", "dense"))
+    assert [n["status"] for n in notes] == ["skipped", "skipped"]  # nothing is built yet, the others would still answer
+    built = e.build()
+    assert built["vectors"].dimension == 64 and built["lexical"].count == built["vectors"].count > 0
+    got = e.ask(query)
+    assert {n["route"]: n["status"] for n in got["routes"]} == {"raw": "ok", "dense": "ok", "summaries": "ok"}
+    assert got["plan"].phrases == ["grain size"] and got["plan"].years == ["2010"] and "nickel" in got["plan"].concepts and got["evidence"] and got["rewritten"].startswith('"grain size"')
+    plain = Engine(spark, sf_dir, k=5)._raw(e.plan(query)).collect()
+    stored = e._raw(e.plan(query)).collect()
+    assert sorted((r["id"], round(r["score"], 9)) for r in plain) == sorted((r["id"], round(r["score"], 9)) for r in stored)
+    wrong = Engine(spark, sf_dir, indexes=str(tmp_path / "i"), dimension=128, mode="dense")
+    with pytest.raises(index.Unfit):
+        wrong.search(query)
+    assert Engine(spark, sf_dir, mode="lexical").search("nickel graph", routes=("graph", "tables")).count() >= 0
+
+
+def test_nearest_by_scan_and_by_blocks(spark):
+    from lodeline.operators import search as S
+
+    rows = [(i, [float((i * k) % 7) for k in (1, 2, 3)], "q") for i in range(60)] + [(99, None, "q"), (98, [1.0], "q")]
+    df = spark.createDataFrame(rows, "i bigint, v array<float>, row_id string")
+    ask = df.where("i % 10 = 0")
+    one = sorted(tuple(r) for r in S.nearest(df, ask, "i", "v", 3).collect())
+    two = sorted(tuple(r) for r in S.nearest(df, ask, "i", "v", 3, most_numbers=9).collect())
+    assert one == two and len(one) == 18
+    assert S.nearest(df.limit(0), ask, "i", "v", 3).count() == 0 and S.nearest(df, ask.limit(0), "i", "v", 3).count() == 0
