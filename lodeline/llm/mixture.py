@@ -8,7 +8,7 @@ of bounded size, so no source and no order is ever in one task.
 The default budget is the largest with which every source that has documents can meet its share within its
 repeats; with a larger one the scarce sources run out and the reported shares say so.
 
-Edge cases (tests/llm/test_mixture.py): null and empty texts have no tokens and are never used; sources without
+Edge cases (tests/llm/test_packing.py): null and empty texts have no tokens and are never used; sources without
 targets, targets without documents or weight contribute nothing, and the other weights are scaled up; repeated
 rows are documents of their own; empty tables give an empty result; extra columns can't clash.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.llm.tokens import TOKENIZERS, VOCABULARY, count_tokens
-from lodeline.operators.prefix import running_sum
+from lodeline.operators.prefix import running_sum, running_sums
 from lodeline.runtime import stored
 
 BUCKET_ROWS = 20_000  # rows of one bucket of a running sum, on average
@@ -60,8 +60,7 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str
     span = float(count["last"] or 1.0)
     timed = queued.withColumn("bucket", F.least(F.floor(F.col("finish") / span * steps), F.lit(steps)).cast("bigint")).withColumn("one", F.lit(1).cast("bigint"))
     order = [F.col("finish"), F.col("source"), F.col("use"), F.col("row")]
-    ranked = running_sum(timed.withColumn("all", F.lit(0)), ["all"], "bucket", order, "n_tokens", "running_tokens")
-    ranked = running_sum(ranked, ["all"], "bucket", order, "one", "position").where(F.col("running_tokens") <= budget)
+    ranked = running_sums(timed.withColumn("all", F.lit(0)), ["all"], "bucket", order, {"running_tokens": "n_tokens", "position": "one"}).where(F.col("running_tokens") <= budget)
     mixture = stored(ranked.select("position", "id", "source", "use", "n_tokens", "finish", "running_tokens"), "mixture")
     used = mixture.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("uses"), F.max("use").alias("most_uses"))
     wanted = spark.createDataFrame([(r["source"], r["target_share"], float(r["weight"]), r["max_repeats"]) for r in rows], "source string, target_share double, reachable_share double, max_repeats int")

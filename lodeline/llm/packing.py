@@ -24,26 +24,30 @@ from lodeline.llm.tokens import TOKENIZERS, VOCABULARY, count_tokens
 from lodeline.runtime import stored
 
 CAPACITY = 2048
+SLACK = 1.0  # windows that a source may run ahead of its share to fill the end of one
 PART_TOKENS = 4_000_000  # tokens of one packing task
 
 
 def fill(items: dict[str, list[tuple[int, int]]], shares: dict[str, float], deficits: dict[str, float], capacity: int) -> Iterator[list[tuple[str, int, int]]]:
     """Windows of (source, size, item number); ``items`` holds (size, number) lists in ascending order and is used up."""
+    placed = 0  # every placed token adds its share to each source's deficit; kept as one number, not source by source
     while any(items.values()):
         window, room = [], capacity
         while True:
             fitting = [(s, k) for s, q in items.items() if q and (k := bisect_right(q, (room, 1 << 62)) - 1) >= 0]
             if not fitting:
                 break
+            due = lambda s: deficits[s] + shares[s] * placed  # noqa: B023, E731
             if room > capacity // 4:
-                source, k = max(fitting, key=lambda x: (deficits[x[0]], x[0]))
+                source, k = max(fitting, key=lambda x: (due(x[0]), x[0]))
             else:
-                source, k = max(fitting, key=lambda x: (items[x[0]][x[1]][0], deficits[x[0]], x[0]))
+                # of the items that fill the rest equally well, the one whose source lags most; a source may run ahead by SLACK windows at most while another fits
+                behind = [x for x in fitting if due(x[0]) > -SLACK * capacity] or fitting
+                source, k = max(behind, key=lambda x: (items[x[0]][x[1]][0], due(x[0]), x[0]))
             size, number = items[source].pop(k)
             if not items[source]:
                 del items[source]
-            for s in deficits:
-                deficits[s] += shares[s] * size
+            placed += size
             deficits[source] -= size
             room -= size
             window.append((source, size, number))
@@ -102,3 +106,23 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     every = rows.select(*names).unionByName(heads.select(*names))
     done = every.groupBy("part").applyInPandas(run, f"container bigint, slot int, id {kind.simpleString()}, source string, piece int, token_start bigint, n_tokens bigint")
     return done.withColumnRenamed("id", id_col)
+
+
+def windows(packed: DataFrame, targets: DataFrame | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """(container, tokens, texts, sources, deviation) of packed containers.
+
+    ``deviation`` is the greatest distance, over the sources, between the tokens of the container's task up to its
+    end and the share of them that is due, in containers. Shares are those of ``targets`` (source, share) or of all
+    containers. A task holds PART_TOKENS tokens, so its running sums are bounded.
+    """
+    each = packed.groupBy("container", "source").agg(F.sum("n_tokens").alias("n"))
+    size = packed.groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("texts"), F.count_distinct("source").alias("sources")).withColumn("part", F.shiftright("container", 32))
+    if targets is None:
+        total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # a row for each source
+        targets = packed.groupBy("source").agg(F.sum("n_tokens").alias("n")).select("source", (F.col("n") / total).alias("share"))
+    upto = Window.partitionBy("part", "source").orderBy("container").rowsBetween(Window.unboundedPreceding, 0)
+    filled = size.withColumn("before", F.sum("tokens").over(Window.partitionBy("part").orderBy("container").rowsBetween(Window.unboundedPreceding, 0)))
+    grid = filled.select("part", "container", "before").join(F.broadcast(targets))  # a row for each container and source
+    run = grid.join(each, ["container", "source"], "left").withColumn("sent", F.sum(F.coalesce("n", F.lit(0))).over(upto))
+    worst = run.groupBy("container").agg((F.max(F.abs(F.col("sent") - F.col("share") * F.col("before"))) / capacity).alias("deviation"))
+    return size.join(worst, "container").select("container", "tokens", "texts", "sources", "deviation")

@@ -69,9 +69,14 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fill of every container."""
-    x = p8_containers(spark, sf_dir)
-    return x.groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("texts"), F.count_distinct("source").alias("sources"))
+    """Fill of every container, and how far the running shares of its task are from the sources' shares when it is closed, at the worst source, in containers."""
+    return packing.windows(p8_containers(spark, sf_dir))
+
+
+def p8_targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers whose proportions are the shares of mix_targets, as far as the listed sources' documents go; the others come last."""
+    goal = {r["source"]: r["target_share"] for r in table(spark, sf_dir, "mix_targets").groupBy("source").agg(F.max("target_share").alias("target_share")).collect()}  # a row for each listed source
+    return packing.pack(table(spark, sf_dir, "documents"), targets=goal)
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +95,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_subjects(spark, sf_dir).select("doc_id", "subject").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_pieces, p3_found, p3_repaired, p5_found, p5_repaired, p6_found, p6_matches, p7_found, p7_segments, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_subjects)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_pieces, p3_found, p3_repaired, p5_found, p5_repaired, p6_found, p6_matches, p7_found, p7_segments, p8_containers, p8_fill, p8_targeted, p9_mixture, p9_shares, p10_found, p10_subjects)}
 
 SQL: dict[str, str] = {"p2_found": "SELECT DISTINCT result_id FROM retrieval_results WHERE length(text) > 3500"}

@@ -31,6 +31,24 @@ def test_proportions_hold_early():
     assert abs(share - 0.75) < 0.02
 
 
+def test_every_window_keeps_the_proportions(spark):
+    """The running shares never leave the targets by more than two windows, and the figure says by how much."""
+    r = random.Random(5)
+    items = {s: sorted((r.randint(20, 900), i) for i in range(n)) for s, n in (("a", 600), ("b", 200), ("c", 50))}
+    total = {s: sum(n for n, _ in q) for s, q in items.items()}
+    shares = {s: n / sum(total.values()) for s, n in total.items()}
+    sent, placed, worst = dict.fromkeys(items, 0), 0, 0.0
+    for window in P.fill(items, shares, dict.fromkeys(shares, 0.0), 2048):
+        for s, n, _ in window:
+            sent[s] += n
+            placed += n
+        worst = max(worst, *(abs(sent[s] - shares[s] * placed) / 2048 for s in sent))
+    assert worst < 2
+    df = spark.createDataFrame(docs(), SCHEMA)
+    fill = P.windows(P.pack(df, part_tokens=20_000)).collect()
+    assert all(0 <= x["deviation"] < 4 and x["tokens"] <= 2048 for x in fill)
+
+
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], SCHEMA)).count() == 0
 
