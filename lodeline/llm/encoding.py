@@ -330,8 +330,10 @@ def _explain(batches: Iterator[pa.RecordBatch], plausibility) -> Iterator[pa.Rec
 def learn(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> tuple[dict[str, int], list[tuple[str, str]], dict[str, dict[str, str]]]:
     """Letter model, learned pairs of encodings, and the map of characters that no pair of encodings explains; from all values of all rows.
 
-    Every distinct value of a twin group is aligned with the group's most plausible, first and last ones. What reaches the driver
-    is bounded by the symbols of the code pages: bigram counts, and one row for each explained character.
+    Every distinct value of a twin group is aligned with the group's most plausible, and with the first and last
+    in two orders, as texts of one skeleton may be several originals. Two encodings that are proven with others
+    need less proof together. What reaches the driver is bounded by the symbols of the code pages: bigram counts,
+    and one row for each explained character.
     """
     values = _fields(df, id_col, fields)
     kind = values.schema["id"].dataType.simpleString()
@@ -339,16 +341,16 @@ def learn(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> tuple[dict[str
     counts = {r["key"]: r["n"] for r in survey.where("kind = 'g'").groupBy("key").agg(F.sum("n").alias("n")).collect()}
     variants = survey.where("kind = 'k'").groupBy("key", "n").agg(F.min(F.struct("ref", "field_name")).alias("at"))
     several = survey.where("kind = 'k'").groupBy("key").agg(F.min("n").alias("x"), F.max("n").alias("y")).where("x <> y").select("key")
-    twins = variants.join(several, "key").select("key", "at.ref", "at.field_name")
+    twins = variants.join(several, "key").select("key", "n", "at.ref", "at.field_name")
     letters = Letters(counts)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.append_column("score", pa.array([letters.whole(v) for v in b["value"].to_pylist()], pa.float64()))
 
-    rated = stored(twins.join(values.withColumnRenamed("id", "ref"), ["ref", "field_name"]).select("key", "value").mapInArrow(rate, "key string, value string, score double"), "twins")
-    best = rated.groupBy("key").agg(F.max(F.struct("score", "value"))["value"].alias("best"), F.min("value").alias("low"), F.max("value").alias("high"))
-    pairs = rated.join(best, "key").select(F.col("value").alias("a"), F.explode(F.array_distinct(F.array("best", "low", "high"))).alias("b")).where("a <> b")
+    rated = stored(twins.join(values.withColumnRenamed("id", "ref"), ["ref", "field_name"]).select("key", "n", "value").mapInArrow(rate, "key string, n bigint, value string, score double"), "twins")
+    best = rated.groupBy("key").agg(F.max(F.struct("score", "value"))["value"].alias("best"), F.min("value").alias("low"), F.max("value").alias("high"), F.min_by("value", "n").alias("first"), F.max_by("value", "n").alias("last"))
+    pairs = rated.join(best, "key").select(F.col("value").alias("a"), F.explode(F.array_distinct(F.array("best", "low", "high", "first", "last"))).alias("b")).where("a <> b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     explained = pairs.mapInArrow(lambda batches: _explain(batches, letters.whole), "written string, read string, garbled string, clean string, n bigint")
     found = explained.groupBy("written", "read", "garbled", "clean").agg(F.sum("n").alias("n")).collect()
@@ -356,7 +358,8 @@ def learn(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> tuple[dict[str
     for r in found:
         if r["written"]:
             proof[r["written"], r["read"]] += r["n"]
-    learned = sorted((k for k, n in proof.items() if n >= PROOF), key=lambda k: (-proof[k], k))
+    written, read = ({k[j] for k, n in proof.items() if n >= PROOF} for j in (0, 1))
+    learned = sorted((k for k, n in proof.items() if n >= PROOF or (k[0] in written and k[1] in read)), key=lambda k: (-proof[k], k))
     return counts, learned, _own_map([(r["garbled"], r["clean"], r["n"]) for r in found if not r["written"]])
 
 
