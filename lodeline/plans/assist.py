@@ -14,11 +14,14 @@ from lodeline.runtime import table
 
 # Intents in the order in which they are tried, with the words that show them.
 INTENTS = (
-    ("compare", ("comparison", "compared", "сравнен", "vergleich")),
+    ("compare", ("comparison", "compared", "versus", "сравнен", "vergleich")),
+    ("table", ("table of", "таблиц", "tabelle")),
     ("influence", ("influence of", "effect of", "влияние")),
+    ("expert", ("who ", "expert", "кто ", "автор")),
     ("control", ("control", "регулир", "optimi")),
+    ("gap", ("open question", "missing", "пробел", "не изучен")),
     ("site_study", ("site of", "at the", "месторожден", "участк", "site de", "planta de")),
-    ("overview", ("perspectives", "perspectivas", "überblick", "показники")),
+    ("overview", ("perspectives", "perspectivas", "überblick", "показники", "review", "обзор")),
 )
 FIELDS = ("ore", "slag", "water", "руда", "шлак", "вода")
 PHRASES = ("heap leaching", "mine water", "nickel matte", "шахтная вода", "никелевый штейн")
@@ -83,15 +86,17 @@ def x18_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q1_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intent of each title taken as a query: the first that one of its words shows."""
-    p = table(spark, sf_dir, "publications").select("publication_id", F.lower("title").alias("t")).where("t is not null").distinct()
+    """Plan of each title taken as a query: the first intent that one of its words shows (search where none does), its concepts, its years, and the form of the answer."""
+    p = table(spark, sf_dir, "publications").select("publication_id", F.lower("title").alias("t"), T.normalise(F.col("title")).alias("n"), T.tokens(F.col("title")).alias("k")).where("t is not null").distinct()
     c = None
     for name, words in INTENTS:
         cond = F.lit(False)
         for w in words:
             cond = cond | F.col("t").contains(w)
         c = F.when(cond, name) if c is None else c.when(cond, name)
-    return p.select("publication_id", c.otherwise("search").alias("intent"))
+    concepts = F.array_compact(F.array(*(F.when(sum((T.alias_match(F.col("n"), F.col("k"), a).cast("int") for a in names), F.lit(0)) > 0, F.lit(x)) for x, names in CONCEPTS.items())))
+    x = p.select("publication_id", c.otherwise("search").alias("intent"), F.array_join(concepts, ",").alias("concepts"), F.array_join(T.matches(F.col("t"), T.YEAR, 1), ",").alias("years"))
+    return x.withColumn("answer", F.when(F.col("intent").isin("compare", "table"), "table").when(F.col("intent") == "expert", "list").otherwise("text"))
 
 
 def q2_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,11 +191,18 @@ def d13_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("verdict", F.when(F.col("grade") >= 4, "good").when(F.col("grade") == 3, "usable").otherwise("weak"))
 
 
+# What an experiment's edge to an entity of each type is called.
+BUNDLE = {"material": "uses_material", "process": "operates_at_condition", "equipment": "operates_at_condition", "method": "operates_at_condition", "facility": "operates_at_condition", "property": "produces_output"}
+
+
 def g3_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of each procedure to what it uses, by type."""
+    """Edges of each procedure by type: to what it uses, the conditions it runs at, what it produces, and the publication that describes it."""
     m = _mentions(spark, sf_dir)
-    e = m.select(F.concat(F.lit("experiment_"), "seq").alias("source_id"), G.node_id(F.col("type"), F.col("label")).alias("target_id"), F.when(F.col("type") == "material", "uses_material").otherwise("operates_at").alias("type"), "seq")
-    return G.merge_edges(e).groupBy("source_id", "type").agg(F.count("*").alias("edges"), F.sum("mentions").alias("mentions"))
+    kind = F.create_map(*(F.lit(x) for pair in BUNDLE.items() for x in pair))[F.col("type")]
+    source = F.concat(F.lit("experiment_"), "seq")
+    uses = m.select(source.alias("source_id"), G.node_id(F.col("type"), F.col("label")).alias("target_id"), kind.alias("type"), "seq")
+    told = table(spark, sf_dir, "procedure_summaries").dropDuplicates(["procedure_summary_id"]).select(F.concat(F.lit("experiment_"), "procedure_summary_id").alias("source_id"), F.col("publication_id").alias("target_id"), F.lit("described_in").alias("type"), F.col("procedure_summary_id").alias("seq"))
+    return G.merge_edges(uses.unionByName(told)).groupBy("source_id", "type").agg(F.count("*").alias("edges"), F.sum("mentions").alias("mentions"))
 
 
 def v3_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +259,9 @@ SQL = {
         SELECT publication_id, CASE WHEN n IS NULL THEN 'none' WHEN n >= 50 THEN 'A' WHEN n >= 20 THEN 'B' ELSE 'C' END AS venue_class FROM p LEFT JOIN n ON p.v = n.v""",
     "x15_labels": "WITH p AS (SELECT result_id, least(98, greatest(5, floor(score * 100 + 0.5)))::BIGINT AS percent FROM retrieval_results) SELECT *, CASE WHEN percent >= 75 THEN 'high' WHEN percent >= 45 THEN 'medium' ELSE 'low' END AS label FROM p",
     "x18_kind": "SELECT DISTINCT publication_id, CASE WHEN lower(extension) IN ('.xls', '.xlsx', '.csv') THEN 'table' WHEN lower(extension) IN ('.ppt', '.pptx') THEN 'slides' WHEN contains(lower(source_type), 'конференц') THEN 'conference' WHEN lower(extension) = '.pdf' THEN 'article' ELSE 'text' END AS kind FROM publications",
-    "q1_intents": "SELECT DISTINCT publication_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(title), '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in INTENTS) + " ELSE 'search' END AS intent FROM publications WHERE title IS NOT NULL",
+    "q1_intents": "WITH p AS (SELECT DISTINCT publication_id, lower(title) AS l, " + norm("title") + " AS t, " + _TOK.format(n=norm("title")) + " AS k FROM publications WHERE title IS NOT NULL), i AS (SELECT publication_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(l, '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in INTENTS)
+        + " ELSE 'search' END AS intent, concat_ws(','," + ", ".join(f"CASE WHEN ({_alias(v)}) = 1 THEN '{c}' END" for c, v in CONCEPTS.items()) + ") AS concepts, l FROM p), y AS (SELECT *, regexp_extract_all(l, '(19[5-9][0-9]|20[0-2][0-9]|203[0-5])', 1) AS y FROM i)"
+        + " SELECT publication_id, intent, concepts, array_to_string(list_filter(y, lambda v, j: list_position(y, v) = j), ',') AS years, CASE WHEN intent IN ('compare', 'table') THEN 'table' WHEN intent = 'expert' THEN 'list' ELSE 'text' END AS answer FROM y",
     "q2_variants": """WITH p AS (SELECT publication_id, any_value(lower(title)) AS t, any_value(coalesce(list_transform(keywords, lambda x: lower(x)), [])) AS k FROM publications WHERE title IS NOT NULL GROUP BY ALL), l AS (SELECT publication_id, list_concat([t], k, list_transform(k[1:1], lambda x: t || ' ' || x)) AS l FROM p),
         e AS (SELECT publication_id, unnest(l) AS variant, generate_subscripts(l, 1) AS i FROM l), f AS (SELECT publication_id, variant, min(i) AS i FROM e GROUP BY ALL), r AS (SELECT publication_id, row_number() OVER (PARTITION BY publication_id ORDER BY i) AS position, variant FROM f) SELECT * FROM r WHERE position <= 8""",
     "q13_properties": f"""WITH {_ONE}, e AS (SELECT procedure_summary_id, unnest(process_parameters) AS m, generate_subscripts(process_parameters, 1) - 1 AS position FROM p) SELECT procedure_summary_id, position::BIGINT AS position, m['name'] AS name, coalesce(m['value'], '') AS value, coalesce(m['unit'], '') AS unit FROM e WHERE m['name'] IS NOT NULL""",
@@ -264,7 +278,8 @@ SQL = {
         SELECT event_id, CASE WHEN coalesce(json_valid(j), false) THEN 'ok' WHEN contains(s, 'cannot help') THEN 'refused' ELSE 'parse_failed' END AS status, (CASE WHEN coalesce(json_valid(j), false) THEN length(j) ELSE 0 END)::BIGINT AS chars FROM b""",
     "d6_counts": f"SELECT 'venues' AS family, document_kind AS kind, count(DISTINCT {norm('venue_name')}) AS n FROM publications WHERE venue_name IS NOT NULL GROUP BY ALL UNION ALL " + " UNION ALL ".join(f"SELECT '{f}' AS family, kind, count(*) AS n FROM {f} JOIN (SELECT doc_id, max(document_kind) AS kind FROM publications GROUP BY ALL) k USING (doc_id) GROUP BY ALL" for f in ("publications", "publication_authors", "procedure_summaries", "retrieval_results", "parsed_tables")),
     "d13_verdicts": "WITH g AS (SELECT DISTINCT procedure_summary_id, least(5, greatest(1, ceil(confidence * 5)))::BIGINT AS grade FROM procedure_summaries) SELECT *, CASE WHEN grade >= 4 THEN 'good' WHEN grade = 3 THEN 'usable' ELSE 'weak' END AS verdict FROM g",
-    "g3_bundles": f"""WITH {_M}, e AS (SELECT 'experiment_' || seq AS source_id, node_id AS target_id, CASE WHEN type = 'material' THEN 'uses_material' ELSE 'operates_at' END AS type, count(*) AS mentions FROM i GROUP BY ALL) SELECT source_id, type, count(*) AS edges, sum(mentions)::BIGINT AS mentions FROM e GROUP BY ALL""",
+    "g3_bundles": f"""WITH {_M}, d AS (SELECT 'experiment_' || seq AS source_id, node_id AS target_id, CASE type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in BUNDLE.items())} END AS type FROM i UNION ALL SELECT 'experiment_' || procedure_summary_id, publication_id, 'described_in' FROM p),
+        e AS (SELECT source_id, target_id, type, count(*) AS mentions FROM d GROUP BY ALL) SELECT source_id, type, count(*) AS edges, sum(mentions)::BIGINT AS mentions FROM e GROUP BY ALL""",
     "v3_manifest": """WITH r AS (SELECT *, coalesce(chunk_id, '') <> '' AND coalesce(doc_id, '') <> '' AND coalesce(text, '') <> '' AS f FROM retrieval_results)
         SELECT count(*) FILTER (WHERE f) AS count, count(*) FILTER (WHERE NOT f) AS left_out, count(DISTINCT chunk_id) FILTER (WHERE f) AS chunks, bit_xor(('0x' || substr(sha1(concat_ws('|', result_id::VARCHAR, chunk_id, doc_id, text)), 1, 12))::BIGINT) FILTER (WHERE f) AS digest FROM r""",
 }

@@ -11,11 +11,22 @@ from lodeline.plans.text import norm
 from lodeline.runtime import table
 
 
+# Node types of a card's entities, and the fields that name them.
+ENTITY_FIELDS = (("material", "materials"), ("process", "processes"), ("equipment", "equipment"))
+SINGLE_FIELDS = (("method", "synthesis_or_process_method"), ("facility", "scale"), ("material", "material_name"))
+
+
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(procedure, type, label, seq) of the entities that procedure cards name."""
+    """(publication_id, seq, type, label) of the entities that procedure cards name: lists, single fields, and properties by their parameters' names."""
     p = table(spark, sf_dir, "procedure_summaries").dropDuplicates(["procedure_summary_id"])
-    parts = [p.select("publication_id", "procedure_summary_id", F.lit(t).alias("type"), F.explode(c).alias("label")) for t, c in (("material", "materials"), ("process", "processes"), ("equipment", "equipment"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("label <> ''").withColumnRenamed("procedure_summary_id", "seq")
+    named = lambda t: lambda x: F.struct(F.lit(t).alias("type"), x.alias("label"))
+    many = [F.transform(c, named(t)) for t, c in ENTITY_FIELDS]
+    one = F.array(*(F.struct(F.lit(t).alias("type"), F.col(c).alias("label")) for t, c in SINGLE_FIELDS))
+    names = F.transform("process_parameters", lambda m: F.struct(F.lit("property").alias("type"), F.element_at(m, "name").alias("label")))
+    none = F.array().cast("array<struct<type:string,label:string>>")
+    every = F.concat(*(F.coalesce(x, none) for x in (*many, one, names)))
+    e = p.select("publication_id", F.col("procedure_summary_id").alias("seq"), F.explode(every).alias("e"))
+    return e.select("publication_id", "seq", "e.type", "e.label").where("label <> ''")
 
 
 def g2_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +123,8 @@ def g11_mini_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (g1_authored, g2_nodes, g4_table_nodes, g5_tags, g6_edges, g7_entities, g8_degrees, g8_neighbours, g9_paths, g11_mini_graph)}
 
 _P = "p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY procedure_summary_id) AS k FROM procedure_summaries) WHERE k = 1)"
-_M = f"""{_P}, m AS (SELECT publication_id, procedure_summary_id AS seq, 'material' AS type, unnest(materials) AS label FROM p UNION ALL SELECT publication_id, procedure_summary_id, 'process', unnest(processes) FROM p UNION ALL SELECT publication_id, procedure_summary_id, 'equipment', unnest(equipment) FROM p),
+_FIELDS = " UNION ALL ".join([f"SELECT publication_id, procedure_summary_id AS seq, '{t}' AS type, unnest({c}) AS label FROM p" for t, c in ENTITY_FIELDS] + [f"SELECT publication_id, procedure_summary_id, '{t}', {c} FROM p" for t, c in SINGLE_FIELDS])
+_M = f"""{_P}, v AS (SELECT publication_id, procedure_summary_id AS seq, unnest(process_parameters) AS q FROM p), m AS ({_FIELDS} UNION ALL SELECT publication_id, seq, 'property', q['name'] FROM v),
     i AS (SELECT *, type || '_' || substr(sha1({norm('label')}), 1, 16) AS node_id FROM m WHERE label <> '')"""
 _E = f"""{_M}, e AS (SELECT 'edge_' || substr(sha1(publication_id || '|uses_' || type || '|' || node_id), 1, 20) AS edge_id, publication_id AS source_id, node_id AS target_id, 'uses_' || type AS type, count(*) AS mentions FROM i WHERE publication_id IN (SELECT publication_id FROM publications) GROUP BY ALL)"""
 _GEO = """e AS (SELECT 'n' || n_nationkey AS source_id, 'r' || n_regionkey AS target_id, 'in_region' AS type FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'supplies_from' FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'buys_in' FROM customer),

@@ -19,9 +19,13 @@ def s12_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s15_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A field of JSON text; broken text gives null."""
-    e = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-    return e.select("event_id", F.coalesce(F.expr("try_cast(k as bigint)"), F.lit(0)).alias("k"))
+    """Sheets out of the JSON of every document with tables: documents without an id, broken JSON and sheets that are no objects give nothing, counts that are no numbers are 0, paths start after the root."""
+    t = table(spark, sf_dir, "parsed_tables").select("doc_id", "table_id", "page_or_sheet", "row_count", "local_path")
+    sheet = F.struct(F.lit("1").alias("sheet_index"), F.coalesce("page_or_sheet", F.lit("")).alias("sheet_name"), F.coalesce(F.col("row_count").cast("string"), F.lit("many")).alias("rows"), F.lit("x").alias("columns"), F.concat(F.lit("C:\\data\\parsed\\spreadsheets_csv\\"), "local_path").alias("csv_path"))
+    whole = F.to_json(F.struct(F.array(sheet).alias("sheets")))
+    broken = F.pmod(F.length("table_id") + F.ascii(F.substring("table_id", -1, 1)), F.lit(5)) == 0
+    docs = t.select(F.concat_ws(":", "doc_id", "table_id").alias("doc_id"), F.when(broken, F.substring(whole, 1, 20)).otherwise(whole).alias("metadata_json"))
+    return files.explode_sheets(docs)
 
 
 def s16_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +180,7 @@ _HOST = r"lower(regexp_extract(landing_page_url, '^[a-zA-Z]+://(?:[^/@]*@)?([^/:
 _NAME = r"""regexp_replace(regexp_replace(coalesce(title, file_name), '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '[ .]+$', '')"""
 SQL = {
     "s12_cells": "SELECT o_orderkey, coalesce(CASE WHEN o_totalprice = floor(o_totalprice) THEN floor(o_totalprice)::BIGINT::VARCHAR ELSE o_totalprice::DECIMAL(18,2)::VARCHAR END, '') AS price, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderstatus = 'F' THEN 'TRUE' ELSE 'FALSE' END AS done FROM orders",
-    "s15_json": "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events",
+    "s15_json": r"""SELECT concat_ws(':', doc_id, table_id) AS doc_id, 1 AS sheet_index, coalesce(page_or_sheet, '') AS sheet_name, coalesce(row_count, 0)::INT AS rows, 0 AS columns, replace(local_path, '\', '/') AS csv_path FROM parsed_tables WHERE (length(table_id) + ascii(table_id[-1])) % 5 <> 0""",
     "s16_preview": r"""WITH r AS (SELECT table_id, unnest(string_split(text, chr(10))[1:3]) AS row, generate_subscripts(string_split(text, chr(10))[1:3], 1)::BIGINT AS row_no FROM parsed_tables) SELECT table_id, row_no, array_to_string(list_transform(regexp_split_to_array(row, '[|;\t]')[1:4], lambda x: trim(x)), ' | ') AS cells FROM r""",
     "s18_round_robin": "WITH p AS (SELECT DISTINCT publication_id, source_type, lower(extension) AS x, length(source_path) AS n FROM publications), r AS (SELECT *, row_number() OVER (PARTITION BY source_type ORDER BY x, n, publication_id) AS r FROM p) SELECT publication_id, source_type, r AS round FROM r ORDER BY r, source_type LIMIT 100",
     "s20_replaced": "SELECT doc_id, source, length(text) AS chars FROM documents WHERE source <> 'newsroom' UNION ALL SELECT doc_id + 1000000, 'derived', length(text) FROM documents WHERE source = 'newsroom'",
