@@ -66,7 +66,7 @@ def build_lexical(df: DataFrame, id_col: str, text_col: str, path: str, buckets:
     words = base.select("row_id", T.words(F.col("text")).alias("w")).select("row_id", F.size("w").alias("n"), F.explode("w").alias("term"))
     posts = words.groupBy("row_id", "n", "term").agg(F.count("*").alias("tf")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     posts.repartition(buckets, "bucket", F.pmod(F.xxhash64("row_id"), F.lit(4))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    base.select(F.size(T.words(F.col("text"))).cast("double").alias("n")).agg(F.count("*").cast("double").alias("docs"), F.avg("n").alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/figures")
+    base.select(F.size(T.words(F.col("text"))).cast("double").alias("n")).where("n > 0").agg(F.count("*").cast("double").alias("docs"), F.avg("n").alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/figures")
     n, d = _digest(base)
     m = Manifest("lexical", "words", 0, n, d)
     m.write(spark, path)
