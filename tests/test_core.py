@@ -171,7 +171,7 @@ def test_scope_deletes_its_tables(spark):
     from lodeline import runtime
 
     with runtime.scope(spark):
-        df = runtime.stored(spark.range(3).toDF())
+        df = runtime.stored(spark.range(3))
         assert df.count() == 3
         folder = df.inputFiles()[0].rpartition("/")[0]
     assert not spark._jvm.java.io.File(folder.removeprefix("file://").removeprefix("file:")).exists()
