@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.llm.letters import latin
-from lodeline.runtime import col, has_rows, spread, stored
+from lodeline.runtime import col, has_rows, sliced, spread, stored, unsent
 
 # Given names with their short forms, in Latin letters.
 GIVEN = {
@@ -257,7 +257,7 @@ def _near_spellings(names: DataFrame, group: str | None) -> DataFrame:
     keyed = base.mapInArrow(_index, "grp string, name string, n bigint, key string")
     probes = base.mapInArrow(_probe, "grp string, name string, n bigint, key string")
     pairs = (
-        probes.alias("p").join(keyed.alias("i"), (F.col("p.grp") == F.col("i.grp")) & (F.col("p.key") == F.col("i.key")))
+        probes.alias("p").join(unsent(keyed).alias("i"), (F.col("p.grp") == F.col("i.grp")) & (F.col("p.key") == F.col("i.key")))
         .where((F.col("i.n") > F.col("p.n")) | ((F.col("i.n") == F.col("p.n")) & (F.col("i.name") < F.col("p.name"))))
         .select("p.grp", "p.name", F.col("i.name").alias("target"), F.col("i.n").alias("m")).distinct()
     )
@@ -266,15 +266,16 @@ def _near_spellings(names: DataFrame, group: str | None) -> DataFrame:
     step = stored(step, "near")
     for _ in range(2):
         up = step.select("grp", F.col("name").alias("target"), F.col("target").alias("further"))
-        step = step.join(up, ["grp", "target"], "left").select("grp", "name", F.coalesce("further", "target").alias("target"))
-    out = base.join(step, ["grp", "name"], "left").select("grp", "name", F.coalesce("target", "name").alias("target"))
+        step = step.join(unsent(up), ["grp", "target"], "left").select("grp", "name", F.coalesce("further", "target").alias("target"))
+    out = base.join(unsent(step), ["grp", "name"], "left").select("grp", "name", F.coalesce("target", "name").alias("target"))
     return stored(out.withColumnRenamed("grp", group) if group else out.drop("grp"), "spellings")
 
 
 def _keys(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("grp", pa.string()), ("name", pa.string()), ("n", pa.int64()), ("key", pa.string())])
     for b in batches:
-        rows = [(g, w, n, k) for g, w, n in zip(b["grp"].to_pylist(), b["name"].to_pylist(), b["n"].to_pylist()) for k in make(w)]
-        yield pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))], ["grp", "name", "n", "key"])
+        rows = ((g, w, n, k) for g, w, n in zip(b["grp"].to_pylist(), b["name"].to_pylist(), b["n"].to_pylist()) for k in make(w))
+        yield from sliced(rows, schema)
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,22 +367,22 @@ def entities(df: DataFrame, id_col: str = "author_id", raw_col: str = "raw_name"
 
     places = parsed.where("place <> ''").groupBy(F.col("place").alias("name")).agg(F.count("*").alias("n"))
     place_of = _near_spellings(places, None).select(F.col("name").alias("place"), F.col("target").alias("at"))
-    rows = stored(parsed.join(place_of, "place", "left").withColumn("place", F.coalesce("at", F.lit(""))).drop("at"), "placed")
+    rows = stored(parsed.join(unsent(place_of), "place", "left").withColumn("place", F.coalesce("at", F.lit(""))).drop("at"), "placed")
 
     orgs = rows.where("is_org and place <> ''")
     kinds = orgs.where("kind <> ''").groupBy("place").agg(F.min("kind").alias("only"), F.count_distinct("kind").alias("k"))
     org_entity = (
-        orgs.join(kinds, "place", "left").withColumn("kind", F.when(F.col("kind") != "", F.col("kind")).when(F.col("k") == 1, F.col("only")).otherwise(F.lit("")))
+        orgs.join(unsent(kinds), "place", "left").withColumn("kind", F.when(F.col("kind") != "", F.col("kind")).when(F.col("k") == 1, F.col("only")).otherwise(F.lit("")))
         .select("id", F.concat_ws(":", F.lit("o"), "place", "kind").alias("entity"))
     )
 
     people = rows.where("not is_org and surname <> ''")
     surnames = people.where("place <> ''").groupBy("place", F.col("surname").alias("name")).agg(F.count("*").alias("n"))
     surname_of = _near_spellings(surnames, "place").select("place", F.col("name").alias("surname"), F.col("target").alias("as"))
-    local = stored(people.where("place <> ''").join(surname_of, ["place", "surname"]).withColumn("surname", F.col("as")).drop("as"), "local")
+    local = stored(people.where("place <> ''").join(unsent(surname_of), ["place", "surname"]).withColumn("surname", F.col("as")).drop("as"), "local")
     profiles = local.groupBy("place", "surname").agg(F.collect_set(F.struct("kind", "given", "patronymic")).alias("profiles"))
     known = stored(profiles.mapInArrow(_people, "place string, surname string, kind string, given string, patronymic string, entity string"), "people")
-    placed = local.join(known, ["place", "surname", "kind", "given", "patronymic"]).select("id", "email", "orcid", "surname", "entity")
+    placed = local.join(unsent(known), ["place", "surname", "kind", "given", "patronymic"]).select("id", "email", "orcid", "surname", "entity")
 
     # people without a place: the segment join against all surnames with the same initial, or all where it is missing
     initial = F.substring("given", 1, 1)
@@ -392,18 +393,18 @@ def entities(df: DataFrame, id_col: str = "author_id", raw_col: str = "raw_name"
     full_names = full.select("grp", F.col("surname").alias("name")).distinct().withColumn("n", F.lit(1).cast("bigint"))
     near = (
         lost_names.mapInArrow(_probe, "grp string, name string, n bigint, key string").alias("p")
-        .join(full_names.mapInArrow(_index, "grp string, name string, n bigint, key string").alias("i"), (F.col("p.grp") == F.col("i.grp")) & (F.col("p.key") == F.col("i.key")))
+        .join(unsent(full_names.mapInArrow(_index, "grp string, name string, n bigint, key string")).alias("i"), (F.col("p.grp") == F.col("i.grp")) & (F.col("p.key") == F.col("i.key")))
         .select("p.grp", "p.name", F.col("i.name").alias("target"), F.col("i.n").alias("m"))
-        .unionByName(lost_names.join(full_names.select("grp", "name", F.col("n").alias("m")), ["grp", "name"]).select("grp", "name", F.col("name").alias("target"), "m")).distinct()
+        .unionByName(lost_names.join(unsent(full_names.select("grp", "name", F.col("n").alias("m"))), ["grp", "name"]).select("grp", "name", F.col("name").alias("target"), "m")).distinct()
         .mapInArrow(_check, "grp string, name string, target string, m bigint, d int")
     )
-    options = lost_profiles.join(near, ["grp", "name"]).join(full.select("grp", F.col("surname").alias("target"), F.col("given").alias("g"), F.col("patronymic").alias("pa"), "entity"), ["grp", "target"])
+    options = lost_profiles.join(unsent(near), ["grp", "name"]).join(unsent(full.select("grp", F.col("surname").alias("target"), F.col("given").alias("g"), F.col("patronymic").alias("pa"), "entity")), ["grp", "target"])
     profile = ["name", "given", "patronymic"]
     fitting = options.mapInArrow(_fitting, "name string, given string, patronymic string, entity string, d int")
     best = fitting.groupBy(*profile, "d").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).groupBy(*profile).agg(F.min_by(F.struct("a", "b"), "d").alias("x"))
     alike = F.when((F.length("given") > 3) & (F.col("patronymic") != ""), F.concat_ws(":", F.lit("q"), "name", "given", F.substring("patronymic", 1, 1)))
     found = (
-        lost.join(best, profile, "left")
+        lost.join(unsent(best), profile, "left")
         .select("id", "email", "orcid", F.col("name").alias("surname"), F.when(F.col("x.a") == F.col("x.b"), F.col("x.a")).when(F.col("x").isNull(), alike).alias("entity"))
     )
 
@@ -411,10 +412,10 @@ def entities(df: DataFrame, id_col: str = "author_id", raw_col: str = "raw_name"
     every = stored(placed.unionByName(found), "every")
     for c in ("orcid", "email"):
         by = every.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("entity").alias("seen"), F.min("id").alias("any"))
-        every = every.join(by, c, "left").withColumn("entity", F.coalesce("entity", "seen", F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), "any")))).select("id", "email", "orcid", "surname", "entity")
+        every = every.join(unsent(by), c, "left").withColumn("entity", F.coalesce("entity", "seen", F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), "any")))).select("id", "email", "orcid", "surname", "entity")
     every = stored(every.where("entity is not null"), "settled")
     one = _joined(every)
-    settled = every.join(one, "entity", "left").select("id", F.coalesce("first", "entity").alias("entity"))
+    settled = every.join(unsent(one), "entity", "left").select("id", F.coalesce("first", "entity").alias("entity"))
     return settled.unionByName(org_entity)
 
 
