@@ -54,18 +54,35 @@ def neighbours(edges: DataFrame, start: DataFrame) -> DataFrame:
     return start.select("node_id").join(both_ways(edges), F.col("node_id") == F.col("a")).select("node_id", "type", F.col("b").alias("other"))
 
 
+SALTS = 32  # parts of a node's edges in a walk
+
+
 def paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(start_id, end_id, path, types, depth) of all simple paths of up to ``depth`` edges from the nodes in ``start``."""
-    step = stored(both_ways(edges), "edges")  # every step joins the same table
-    front = start.select(F.col("node_id").alias("start_id"), F.col("node_id").alias("end_id"), F.array("node_id").alias("path"), F.array().cast("array<string>").alias("types"))
+    """(start_id, end_id, path, types, label, depth) of all simple paths of up to ``depth`` edges from the nodes in ``start``; ``label`` is the path as :func:`render` writes it.
+
+    A path that has come to a node with one neighbour can't go on, so only the others are carried to the next step:
+    the paths through a hub, which are most, are made once and by the last join. Hubs are spread: their edges lie in
+    SALTS parts, each of which meets a copy of the paths that end there.
+    """
+    step = both_ways(edges)
+    inner = stored(step.groupBy("a").agg((F.min("b") < F.max("b")).alias("on")).where("on").select("a"), "inner")
+    step = step.withColumn("part", F.pmod(F.xxhash64("b", "type"), F.lit(SALTS)).cast("int"))
+    step = stored(step.join(inner.select(F.col("a").alias("b"), F.lit(True).alias("on")), "b", "left").select("a", "b", "type", "part", F.coalesce("on", F.lit(False)).alias("on")), "edges")  # every step joins the same table
+    front = start.select(F.col("node_id").alias("start_id"), F.col("node_id").alias("end_id"), F.array("node_id").alias("path"), F.array().cast("array<string>").alias("types"), F.col("node_id").alias("label"))
     out = None
-    for k in range(1, depth + 1):
-        front = (
-            front.join(step, F.col("end_id") == F.col("a")).where(~F.array_contains("path", F.col("b")))
-            .select("start_id", F.col("b").alias("end_id"), F.concat("path", F.array("b")).alias("path"), F.concat("types", F.array("type")).alias("types"))
+
+    def walked(front: DataFrame, step: DataFrame) -> DataFrame:
+        copies = front.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return (
+            copies.join(step.hint("shuffle_hash"), (F.col("end_id") == F.col("a")) & (F.col("salt") == F.col("part"))).where(~F.array_contains("path", F.col("b")))
+            .select("start_id", F.col("b").alias("end_id"), F.concat("path", F.array("b")).alias("path"), F.concat("types", F.array("type")).alias("types"), F.concat("label", F.lit(" -["), "type", F.lit("]-> "), "b").alias("label"))
         )
-        here = front.withColumn("depth", F.lit(k))
+
+    for k in range(1, depth + 1):
+        here = walked(front, step).withColumn("depth", F.lit(k))
         out = here if out is None else out.unionByName(here)
+        if k < depth:
+            front = stored(walked(front, step.where("on")), "front")
     return out
 
 

@@ -109,7 +109,7 @@ def g9_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple paths of up to three edges from every hundredth node, with all customers."""
     e = _geo(spark, sf_dir)
     p = G.paths(e, _hundredth(e), 3)
-    return p.select("start_id", "end_id", G.render(F.col("path"), F.col("types")).alias("path"), F.col("depth").cast("bigint").alias("depth"))
+    return p.select("start_id", "end_id", F.col("label").alias("path"), F.col("depth").cast("bigint").alias("depth"))
 
 
 def g11_mini_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
